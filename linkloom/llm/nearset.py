@@ -34,6 +34,8 @@ NODE = 128
 FORESTS = 4
 #: Standard errors of a signature's estimate that a candidate may fall short of the threshold.
 SLACK = 4.5
+#: Ids (8 bytes each) that may be broadcast: 16 MB.
+BROADCAST_IDS = 2_000_000
 
 _MULT = seeds(SIGNATURE, 4242)
 
@@ -46,11 +48,12 @@ def _sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """The least 32-bit value of the tokens under each of the hash functions."""
+    """The least value of the tokens under each of the hash functions, 16 bits of it."""
     out = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=U)
     for at in range(0, len(tokens), 4096):
         np.minimum(out, (tokens[at : at + 4096, None] * _MULT).min(axis=0), out=out)
-    return (out >> U(32)).astype(np.uint32)
+    # The high bits of a minimum are small numbers; the mixed value spreads over all 16.
+    return (mix(out) >> U(48)).astype(np.uint16)
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -87,7 +90,7 @@ def _paths(trees: int, depth: int):
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, SIGNATURE).astype(U)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE).astype(U)
             own = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
             for t in range(trees):
                 pick = slice(None) if own is None else np.flatnonzero(own == t)
@@ -134,7 +137,7 @@ def _compare(least: float):
             for ids, sigs in zip(pdf["ids"], pdf["sigs"], strict=True):
                 ids = np.asarray(ids, dtype=np.int64)
                 n = len(ids)
-                m = np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(n, SIGNATURE)
+                m = np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(n, SIGNATURE)
                 if n == 2:
                     if ids[0] != ids[1] and np.count_nonzero(m[0] == m[1]) >= least:
                         seen.add((int(ids.min()), int(ids.max())))
@@ -191,12 +194,22 @@ def candidates(reps: DataFrame, threshold: float, ws: Workspace, trees: int = TR
     return nodes.select("ids", "sigs").mapInPandas(_compare(least), "a long, b long").distinct()
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text, once each, of the documents whose doc_id is in ids (distinct).
+
+    Up to BROADCAST_IDS ids go to every task, so that other texts aren't moved;
+    more are joined by a shuffle.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, ws: Workspace) -> DataFrame:
     """The pairs whose full sets satisfy 100 * intersection >= percent * union."""
     pairs = ws.cut(pairs)
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = ws.cut(texts)
+    texts = ws.cut(texts_of(docs, ws.cut(ends)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -255,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     sigs = ws.cut(signatures(docs, words))
     classes = sigs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = ws.cut(classes)
-    reps = classes.select(F.col("rep").alias("doc_id"), "sig").dropDuplicates(["doc_id"])
+    reps = classes.select(F.col("rep").alias("doc_id"), "sig")
     links = confirmed(candidates(reps, percent / 100, ws, trees), docs, words, percent, ws)
     comp = components(links, ws)
     labelled = classes.join(comp, classes["rep"] == comp["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
