@@ -36,7 +36,7 @@ def eligible(pairs: DataFrame, sources: DataFrame, targets: DataFrame, s: Settin
     good = pairs.join(src, "s", "left_semi").join(tgt, "t", "left_semi")
     back = good.where(F.col("sim") >= s.both_direction_min).select(F.col("t").alias("s"), F.col("s").alias("t"), "sim")
     back = back.join(src, "s", "left_semi").join(tgt, "t", "left_semi")
-    return good.select("s", "t", "sim").union(back).dropDuplicates(["s", "t"])
+    return good.select("s", "t", "sim").unionByName(back).dropDuplicates(["s", "t"])
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

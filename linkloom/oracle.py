@@ -144,9 +144,9 @@ def queries() -> dict[str, str]:
         "export_opportunities": f"{w}{OPPS}, {POSTS} SELECT o.*, a.title AS source_title, b.title AS target_title FROM (SELECT * FROM opps ORDER BY id LIMIT 10000) o LEFT JOIN posts a ON o.s = a.post_id LEFT JOIN posts b ON o.t = b.post_id",
         "export_links": f"{w}{LINKS}, {POSTS} SELECT o.*, a.title AS source_title, b.title AS target_title FROM (SELECT * FROM links ORDER BY id LIMIT 10000) o LEFT JOIN posts a ON o.s = a.post_id LEFT JOIN posts b ON o.t = b.post_id",
         "eval_report": f"{w}{EVAL} SELECT * FROM res",
-        "eval_summary": f"""{w}{EVAL}, c AS (SELECT kind = 'positive' AS p, status <> 'unresolved' AS k, status IN ('ready', 'verified', 'rewrite_suggested', 'inserted') AS r, status FROM res)
+        "eval_summary": f"""{w}{EVAL}, cc AS (SELECT kind = 'positive' AS p, status <> 'unresolved' AS k, status IN ('ready', 'verified', 'rewrite_suggested', 'inserted') AS r, status FROM res)
             SELECT count(*) FILTER (p AND k) AS positives_resolved, round(100 * count(*) FILTER (p AND k AND status <> 'absent') / nullif(count(*) FILTER (p AND k), 0), 1) AS candidate_recall, round(100 * count(*) FILTER (p AND r) / nullif(count(*) FILTER (p AND k), 0), 1) AS ready_recall,
-            count(*) FILTER (NOT p AND k) AS negatives_resolved, round(100 * count(*) FILTER (NOT p AND k AND NOT r) / nullif(count(*) FILTER (NOT p AND k), 0), 1) AS precision_suppression FROM c""",
+            count(*) FILTER (NOT p AND k) AS negatives_resolved, round(100 * count(*) FILTER (NOT p AND k AND NOT r) / nullif(count(*) FILTER (NOT p AND k), 0), 1) AS precision_suppression FROM cc""",
         "queue_counts": f"{w}{QUEUE} SELECT job_type, status, count(*) AS n FROM q GROUP BY ALL",
         "queue_dedupe": f"{w}{QUEUE} SELECT id, post_id, job_type, status FROM (SELECT *, row_number() OVER (PARTITION BY job_type, post_id ORDER BY id) AS r FROM q WHERE status IN ('pending', 'processing')) WHERE r = 1",
         "queue_stale": f"{w}{QUEUE}, z AS (SELECT *, status = 'processing' AND created_at < {AS_OF} - INTERVAL 5 MINUTES AS stale FROM q) SELECT CASE WHEN stale AND attempts >= 3 THEN 'failed' WHEN stale THEN 'pending' ELSE status END AS status, count(*) AS n FROM z GROUP BY 1",
