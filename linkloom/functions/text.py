@@ -53,10 +53,16 @@ def phrase_tokens(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams of neighbouring tokens without boundaries, in order."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda k: F.slice(tokens, k, n))
-    return F.transform(F.filter(runs, lambda r: ~F.array_contains(r, "")), lambda r: F.array_join(r, " "))
+    """n-grams of neighbouring tokens without boundaries, in order.
+
+    Arrays are zipped with their own tails: a lambda that reached into `tokens`
+    would split the text again for every element.
+    """
+    out = tokens
+    for k in range(2, n + 1):
+        tail = F.slice(tokens, F.lit(k), F.greatest(F.size(tokens) - (k - 1), F.lit(0)))
+        out = F.zip_with(out, tail, lambda a, b: F.when((a == "") | (F.coalesce(b, F.lit("")) == ""), "").otherwise(F.concat(a, F.lit(" "), b)))
+    return F.filter(out, lambda g: g != "")
 
 
 def first_ngrams(body: Column) -> Column:
