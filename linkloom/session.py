@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at once; long texts would make larger batches.
+BATCH_BYTES = 16 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -24,6 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -45,7 +48,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.base = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
         self._paths: dict[int, str] = {}
