@@ -309,7 +309,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, ws: W
     return full.mapInArrow(_limited(run), "a long, b long")
 
 
-def _limited(run, most: int = 16 << 20):
+def _limited(run, most: int = 4 << 20):
     """Feed `run` parts of batches that hold about `most` bytes of text."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
