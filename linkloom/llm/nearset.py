@@ -8,8 +8,9 @@ Branching goes on while a node is large. Small nodes are compared exhaustively
 on signatures; the candidates of a node are thinned to edge-disjoint maximum
 spanning forests and confirmed on the full sets, which are computed from the
 texts again. Groups are the connected components of the confirmed links. A
-second pass confirms every candidate that thinning left out and whose ends are
-still in different groups, so that thinning loses no link that matters.
+second pass compares the full sets of all candidates that thinning left out and
+whose ends are still in different groups, node by node, so that thinning loses
+no link that matters.
 
 With similarity 0.85 and two steps before the first comparison, one tree keeps
 a pair with probability 0.72, twelve trees with 1 - 2e-7.
@@ -38,6 +39,8 @@ FORESTS = 4
 SLACK = 4.5
 #: Ids (8 bytes each) that may be broadcast: 16 MB.
 BROADCAST_IDS = 2_000_000
+#: Shingles of all sets of a node (8 bytes each) that one task compares; larger nodes are compared pair by pair.
+NODE_SHINGLES = 2_000_000
 
 _MULT = seeds(SIGNATURE, 4242)
 
@@ -170,34 +173,98 @@ def _compare(least: float):
     return run
 
 
-def _compare_groups(least: float):
-    """All candidate pairs of different groups, of nodes given as lists (ids, sigs, groups)."""
+def _ends(least: float):
+    """node, doc_id, grp of the documents of a node that have a candidate in another group, from lists (ids, sigs, groups)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            seen: set[tuple[int, int]] = set()
-            for ids, sigs, groups in zip(pdf["ids"], pdf["sigs"], pdf["groups"], strict=True):
-                ids = np.asarray(ids, dtype=np.int64)
-                m = np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(len(ids), SIGNATURE)
-                i, j, _ = _edges(m, least, np.asarray(groups, dtype=np.int64))
-                x, y = ids[i], ids[j]
-                seen |= set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            yield pd.DataFrame(sorted(seen), columns=["a", "b"], dtype="int64")
+            for node, ids, sigs, groups in zip(pdf["node"], pdf["ids"], pdf["sigs"], pdf["groups"], strict=True):
+                ids, grp = np.asarray(ids, dtype=np.int64), np.asarray(groups, dtype=np.int64)
+                i, j, _ = _edges(np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(len(ids), SIGNATURE), least, grp)
+                at = np.union1d(i, j)
+                yield pd.DataFrame({"node": np.full(len(at), node, np.int64), "doc_id": ids[at], "grp": grp[at]})
 
     return run
 
 
+def _full(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and its set's hashes, sorted (binary), of rows (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [s.tobytes() for s in _sets(*buffers(part.column(1)), words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a few sets, by products of incidence blocks."""
+    n = len(sets)
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(n), [len(x) for x in sets])
+    place = np.cumsum(times > 1) - 1
+    common = times[at] > 1
+    own, at = own[common], place[at[common]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    out = np.zeros((n, n), dtype=np.int64)
+    step = max(1, (1 << 20) // n)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        a, b = np.searchsorted(at, [lo, lo + step])
+        block = np.zeros((n, step), dtype=np.float32)
+        block[own[a:b], at[a:b] - lo] = 1
+        out += (block @ block.T).astype(np.int64)
+    return out
+
+
+def _join_sets(percent: int):
+    """Links between groups of a node that suffice to join them, from a list of (doc_id, grp, tokens)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for members in pdf["members"]:
+                ids = [m["doc_id"] for m in members]
+                sets = [np.frombuffer(m["tokens"], dtype=U) for m in members]
+                both, n = shared_counts(sets), np.array([len(x) for x in sets])
+                good = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+                parent = {m["grp"]: m["grp"] for m in members}
+                rows = []
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(good, 1))), strict=True):
+                    a, b = members[i]["grp"], members[j]["grp"]
+                    while parent[a] != a:
+                        parent[a] = a = parent[parent[a]]
+                    while parent[b] != b:
+                        parent[b] = b = parent[parent[b]]
+                    if a != b:
+                        parent[a] = b
+                        rows.append((ids[i], ids[j]))
+                yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _pairs_of_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        for ids, groups in zip(pdf["ids"], pdf["groups"], strict=True):
+            ids, grp = np.asarray(ids, dtype=np.int64), np.asarray(groups, dtype=np.int64)
+            for k in range(len(ids) - 1):
+                other = ids[k + 1 :][grp[k + 1 :] != grp[k]]
+                yield pd.DataFrame({"a": np.minimum(other, ids[k]), "b": np.maximum(other, ids[k])})
+
+
 def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """Members (node, doc_id) of the small nodes, and members (big, node, doc_id, parts) of the others.
 
-    reps: doc_id, sig, one row for each distinct set. Nodes that stay large at
+    reps: doc_id, sig, n (size), one row for each distinct set. Nodes that stay large at
     the greatest depth hold near copies of one another; they are dealt at
     random into parts of node size, in each tree anew (big: the whole node,
     node: the part).
     """
     frontier = ws.cut(reps.select("doc_id", "sig").mapInArrow(_paths(trees, FIRST_DEPTH), "doc_id long, tree int, node long"))
     leaves: list[DataFrame] = []
-    dealt = frontier.select(F.col("node").alias("big"), "node", "doc_id", F.lit(1).cast("long").alias("parts"), F.lit(0).cast("long").alias("low")).where("false")
+    dealt = frontier.select(F.col("node").alias("big"), "node", "doc_id", F.lit(0).cast("long").alias("low")).where("false")
     for depth in range(FIRST_DEPTH, MOST_DEPTH + 1):
         sizes = ws.cut(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
         sized = frontier.join(sizes, "node")
@@ -207,7 +274,7 @@ def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[Data
             break
         if depth == MOST_DEPTH:
             parts = F.ceil(F.col("n") / NODE)
-            dealt = large.select(F.col("node").alias("big"), part_of("node", F.pmod(F.xxhash64("doc_id", "tree"), parts)).alias("node"), "doc_id", parts.alias("parts"), "low")
+            dealt = large.select(F.col("node").alias("big"), part_of("node", F.pmod(F.xxhash64("doc_id", "tree"), parts)).alias("node"), "doc_id", "low")
         else:
             below = large.select("doc_id", "tree").join(reps.select("doc_id", "sig"), "doc_id").select("doc_id", "sig", "tree")
             frontier = ws.cut(below.mapInArrow(_paths(trees, depth + 1), "doc_id long, tree int, node long"))
@@ -233,7 +300,9 @@ def near_links(reps: DataFrame, docs: DataFrame, words: int, percent: int, ws: W
     confirms a few spanning forests of each node. The second takes the nodes
     that lost candidates to thinning, and those dealt into parts, once more:
     documents outside the largest group of a dealt node meet all of its parts,
-    and all candidates between different groups are confirmed.
+    and all candidates between different groups are compared on their full
+    sets, in the node itself, which returns the links that join groups. Nodes
+    of very long documents are compared pair by pair instead.
     """
     threshold = percent / 100
     least = (threshold - SLACK * (threshold * (1 - threshold) / SIGNATURE) ** 0.5) * SIGNATURE
@@ -251,17 +320,30 @@ def near_links(reps: DataFrame, docs: DataFrame, words: int, percent: int, ws: W
 
     lost = found.where("node is not null").select("node").distinct()
     small = grouped(members.join(lost, "node")).select("node", "doc_id", "group")
-    labelled = ws.cut(grouped(dealt).select("big", "node", "doc_id", "parts", "group"))
-    largest = labelled.groupBy("big", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("big").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
-    outside = labelled.join(largest, "big").where(F.col("group") != F.col("largest"))
-    spread = outside.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(part_of("big", F.col("k")).alias("node"), "doc_id", "group")
-    touched = spread.select("node").distinct()
-    large = labelled.select("node", "doc_id", "group").join(touched, "node", "left_semi").union(spread).distinct()
-    again = ws.cut(small.union(large))
+    labelled = ws.cut(grouped(dealt).select("big", "node", "doc_id", "group"))
+    counts = labelled.groupBy("big", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("big").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), (F.sum("n") - F.max("n")).alias("n")).where("n > 0")
+    chunks = largest.select("big", "largest", F.ceil(F.col("n") * 2 / NODE).alias("chunks"))
+    inside = labelled.join(chunks, "big")
+    # Chunks of the documents outside the largest group meet all parts of their node.
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    held = inside.withColumn("c", each).select(part_of("node", F.col("c")).alias("node"), "doc_id", "group")
+    outside = inside.where(F.col("group") != F.col("largest")).select("big", "doc_id", "group", F.pmod(F.xxhash64("doc_id", "big"), F.col("chunks")).alias("c"))
+    parts = inside.select("big", F.col("node").alias("part")).distinct()
+    spread = outside.join(parts, "big").select(part_of("part", F.col("c")).alias("node"), "doc_id", "group")
+    again = ws.cut(small.union(held.union(spread).distinct()))
     mixed = again.groupBy("node").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("node")
-    rest = _gathered(again.join(mixed, "node"), reps, F.collect_list("group").alias("groups")).select("ids", "sigs", "groups")
-    pairs = rest.mapInPandas(_compare_groups(least), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    return links.union(confirmed(pairs, docs, words, percent, ws))
+    rest = _gathered(again.join(mixed, "node"), reps, F.collect_list("group").alias("groups")).select("node", "ids", "sigs", "groups")
+    ends = ws.cut(rest.mapInPandas(_ends(least), "node long, doc_id long, grp long").join(reps.select("doc_id", "n"), "doc_id"))
+    weights = ends.groupBy("node").agg(F.sum("n").alias("weight"))
+    light = ends.join(weights.where(F.col("weight") <= NODE_SHINGLES).select("node"), "node", "left_semi")
+    heavy = ends.join(weights.where(F.col("weight") > NODE_SHINGLES).select("node"), "node", "left_semi")
+    sets = ws.cut(_full(texts_of(docs, ws.cut(light.select("doc_id").distinct())), words))
+    gathered = light.join(sets, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "grp", "tokens")).alias("members"))
+    joined = gathered.select("members").mapInPandas(_join_sets(percent), "a long, b long")
+    lists = heavy.groupBy("node").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("grp").alias("groups"))
+    pairs = lists.select("ids", "groups").mapInPandas(_pairs_of_groups, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    return links.union(joined).union(confirmed(pairs, docs, words, percent, ws))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -336,9 +418,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     """
     ws = ws or Workspace(docs.sparkSession, "near")
     sigs = ws.cut(signatures(docs, words))
-    classes = sigs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = sigs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = ws.cut(classes)
-    reps = classes.select(F.col("rep").alias("doc_id"), "sig")
+    reps = classes.select(F.col("rep").alias("doc_id"), "sig", "n")
     links = near_links(reps, docs, words, percent, ws, trees)
     comp = components(links, ws)
     labelled = classes.join(comp, classes["rep"] == comp["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
