@@ -166,3 +166,8 @@ def test_pipeline_keeps_clean_documents(spark, docs):
     one = c.near_dedup(spark, kept, "")
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in one.collect()) == [-1, 0, 6, 7, 8] and one.columns == docs.columns
     assert c.mix(spark, c.secret_scan(spark, one, ""), "").columns == docs.columns
+
+
+def test_spans_and_links_of_a_batch():
+    assert passages.merge_spans([(5, 9), (1, 3), (3, 5), (20, 25), (21, 22)]) == [[1, 9], [20, 25]] and passages.merge_spans([]) == []
+    assert passages.smallest_reachable([(7, 4), (4, 2), (9, 8)]) == {7: 2, 4: 2, 2: 2, 9: 8, 8: 8} and passages.smallest_reachable([]) == {}
