@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cuts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about a megabyte that begin and end between words."""
+    """Byte ranges of about _SEGMENT bytes that begin and end between words."""
     at, end = 0, int(offs[-1])
     while at < end:
         stop = min(end, at + _SEGMENT)
