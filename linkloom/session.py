@@ -12,12 +12,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that go to a Python worker at once; long texts would make larger batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Python workers outlive their tasks; these make them return freed arrays to the system.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers of this machine import the package.
+    """Let Python workers of this machine import the package, and bound their memory.
 
     On a cluster the package is installed on the executors or shipped with
     ``--py-files``; this only helps local masters started from another folder.
@@ -26,6 +28,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
