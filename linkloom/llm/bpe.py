@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkloom.llm.words import slices
 
-CACHE = 400_000
+CACHE = 100_000
 _COMMON = re.compile(r"[\x00-\u024f\u2010-\u2027\u20ac]*")
 _SINGLE = (1,)
 #: Fixed value: the word pattern of the vocabulary file that _LATIN stands for.
