@@ -171,3 +171,20 @@ def test_pipeline_keeps_clean_documents(spark, docs):
 def test_spans_and_links_of_a_batch():
     assert passages.merge_spans([(5, 9), (1, 3), (3, 5), (20, 25), (21, 22)]) == [[1, 9], [20, 25]] and passages.merge_spans([]) == []
     assert passages.smallest_reachable([(7, 4), (4, 2), (9, 8)]) == {7: 2, 4: 2, 2: 2, 9: 8, 8: 8} and passages.smallest_reachable([]) == {}
+
+
+def test_passages_with_words_inserted_or_deleted(spark):
+    def text(doc, passage):
+        return " ".join([*(f"l{doc}x{k}" for k in range(300)), *passage, *(f"r{doc}x{k}" for k in range(300))])
+
+    plain, data = [[f"p{n}x{k}" for k in range(n)] for n in (60, 80, 200)], []
+    for n, p in enumerate(plain):
+        cuts = [len(p) // 2] if len(p) < 100 else [40, 80, 120, 160]
+        longer = [w for k, v in enumerate(p) for w in ([f"new{k}", v] if k in cuts else [v])]
+        shorter = [v for k, v in enumerate(p) if k not in cuts]
+        data += [(6 * n, text(6 * n, p)), (6 * n + 1, text(6 * n + 1, longer)), (6 * n + 2, text(6 * n + 2, shorter))]
+    got = {r.doc_id: r for r in passages.near_duplicate_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for n, p in enumerate(plain):
+        for d in range(6 * n, 6 * n + 3):
+            spans = [tuple(map(int, s.split(":"))) for s in got[d].passages.split(",") if s]
+            assert got[d].component_id == 6 * n and any(min(e, 299 + len(p)) - max(s, 300) > 0.9 * len(p) for s, e in spans)
