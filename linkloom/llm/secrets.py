@@ -1,11 +1,13 @@
 """Secret scan with a recursive decoding worklist.
 
 A text is scanned for three kinds of secrets. Then every encoded run of it
-(percent escapes, unicode and character references, base64, and base64 of
-zlib or gzip data) is unwrapped into a layer of its own, which is scanned and
-unwrapped in turn until no layer yields a new one. Layers already seen on the
-way are not entered again. A span found in a layer is mapped back through the
-runs it came from to code points of the text.
+(percent escapes, unicode and character references, base64) is unwrapped into
+a layer of its own, which is scanned and unwrapped in turn until no layer
+yields a new one. Bytes that a run stands for are read as UTF-8 or else
+Latin-1, UTF-16 in them as its characters, and zlib and gzip data, escaped ones
+too, are inflated, all members, as often as they are nested. Layers already seen on the way are not entered again. A span
+found in a layer is mapped back through the runs it came from to code points
+of the text.
 """
 
 from __future__ import annotations
@@ -34,7 +36,14 @@ LAYER_BYTES = 64 << 20
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_PLAIN = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]*")
+# Escaped bytes with the characters that are left as they are among them.
+_PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()+/$,;:@-])+")
+_PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|(.)", re.S)
+_HEX_RUN = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[abtnvfr0'\"\\]|[\x20-\x5b\x5d-\x7e])+")
+_HEX_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|(\\.|.)", re.S)
+_NAMED = {"\\a": 7, "\\b": 8, "\\t": 9, "\\n": 10, "\\v": 11, "\\f": 12, "\\r": 13, "\\0": 0, "\\'": 39, '\\"': 34, "\\\\": 92}
+_MEMBER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+_WIDE = ((re.compile(r"(?:[^\x00]\x00){8,}"), slice(0, None, 2)), (re.compile(r"(?:\x00[^\x00]){8,}"), slice(1, None, 2)))
 
 Span = tuple[str, int, int]
 
@@ -124,38 +133,94 @@ def _character(ref: str) -> str | None:
     return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
-def unpack(raw: bytes, most: int = LAYER_BYTES) -> str | None:
-    """Text of bytes, inflated first if they look like zlib or gzip; None if neither.
+def _packed(raw: bytes) -> bool:
+    """Whether bytes begin as zlib or gzip data do."""
+    return len(raw) > 8 and (raw[:2] == b"\x1f\x8b" or (raw[0] & 15 == 8 and raw[0] >> 4 < 8 and (raw[0] << 8 | raw[1]) % 31 == 0))
+
+
+def inflate(raw: bytes, most: int = LAYER_BYTES) -> tuple[bytes, bytes, bool]:
+    """All members of zlib or gzip data as far as they inflate, what follows them, and whether they were whole.
 
     OverflowError if the inflated data pass `most` bytes.
     """
-    if len(raw) > 8 and (raw[:2] == b"\x1f\x8b" or (raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)):
-        inflate = zlib.decompressobj(47)
+    out = bytearray()
+    while _packed(raw):
+        member, got = zlib.decompressobj(47), bytearray()
         try:
-            out = inflate.decompress(raw, most)
-            if inflate.unconsumed_tail:
-                raise OverflowError
-            if inflate.eof or out:
-                raw = out
+            got += member.decompress(raw, most + 1 - len(out))
         except zlib.error:
-            pass
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and _PLAIN.fullmatch(text) else None
-
-
-def _unbase64(run: str, most: int) -> str | None:
-    """Decoded text of a base64 run in either alphabet; None if it isn't one."""
+            # What comes before the damage, in small steps.
+            member = zlib.decompressobj(47)
+            try:
+                for k in range(len(raw)):
+                    got += member.decompress(raw[k : k + 1], most + 1 - len(out) - len(got))
+                    if len(out) + len(got) > most:
+                        break
+            except zlib.error:
+                pass
+        out += got
+        if len(out) > most:
+            raise OverflowError
+        if not member.eof:
+            return bytes(out), raw, False
+        raw = member.unused_data
+    return bytes(out), raw, True
+
+
+def unpack(raw: bytes, most: int = LAYER_BYTES) -> Iterator[str]:
+    """Texts of bytes and of all that inflates from them, until nothing does: UTF-8, or else Latin-1.
+
+    See inflate for OverflowError.
+    """
+    work, seen = deque([raw]), {raw}
+    while work:
+        raw = work.popleft()
+        got, rest, whole = inflate(raw, most)
+        if not got or not whole:
+            try:
+                yield raw.decode("utf-8")
+            except UnicodeDecodeError:
+                yield raw.decode("latin-1")
+        more = [got, rest if got else b"", *(raw[m.start() :] for m in _MEMBER.finditer(raw) if m.start() and not got)]
+        for x in more:
+            if x and x not in seen:
+                seen.add(x)
+                work.append(x)
+
+
+def _escaped_members(text: str, run: re.Pattern, byte: re.Pattern, most: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, compressed bytes) of zlib or gzip data behind escapes in a text."""
+    for m in run.finditer(text):
+        if m[0].count("%") + m[0].count("\\") < 2:
+            continue
+        parts = list(byte.finditer(m[0]))
+        codes = [int(p[1], 16) if p[1] else _NAMED.get(p[2]) if len(p[2]) > 1 else ord(p[2]) for p in parts]
+        raw = bytes(32 if c is None else c for c in codes)
+        # A space may be written as a plus sign.
+        for form in {raw, bytes(32 if p[0] == "+" else c for p, c in zip(parts, raw, strict=True))} if byte is _PERCENT_BYTE else {raw}:
+            done = 0
+            for head in _MEMBER.finditer(form):
+                if head.start() < done:
+                    continue
+                try:
+                    got, rest, _ = inflate(form[head.start() :], most)
+                    stop = len(form) - len(rest) if got and len(rest) < len(form) - head.start() else len(form)
+                except OverflowError:
+                    got, stop = b"-", len(form)
+                if got:
+                    done = stop
+                    yield m.start() + parts[head.start()].start(), m.start() + parts[stop - 1].end(), form[head.start() : stop]
+
+
+def _unbase64(run: str) -> bytes | None:
+    """Bytes of a base64 run in either alphabet; None if it isn't one."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    return unpack(raw, most)
 
 
 def scan(text: str | None, most: int = LAYER_BYTES) -> tuple[list[Span], list[Span]]:
@@ -183,26 +248,33 @@ def scan(text: str | None, most: int = LAYER_BYTES) -> tuple[list[Span], list[Sp
             found.update((kind, *layer.to_root(a, b)) for kind, a, b in base_spans(layer.text))
             work.append(layer)
 
+    def open_up(layer: Layer, start: int, end: int, raw: bytes | None) -> None:
+        a, b = layer.to_root(start, end)
+        try:
+            for got in unpack(raw, most) if raw else ():
+                enter(Layer(got, [(0, a, b, False)]))
+        except OverflowError:
+            found.add(("opaque", a, b))
+
     while work:
         layer = work.popleft()
         if "%" in layer.text:
             enter(_replaced(layer, _ESCAPE, _percent))
+            for start, end, raw in _escaped_members(layer.text, _PERCENT_RUN, _PERCENT_BYTE, most):
+                open_up(layer, start, end, raw)
         if "\\" in layer.text or "&#" in layer.text:
             enter(_replaced(layer, _UNICODE, _character))
+            for start, end, raw in _escaped_members(layer.text, _HEX_RUN, _HEX_BYTE, most) if "\\x" in layer.text else ():
+                open_up(layer, start, end, raw)
+        for pattern, step in _WIDE if "\x00" in layer.text else ():
+            enter(_replaced(layer, pattern, lambda run, step=step: run[step]))
         for m in _BASE64.finditer(layer.text):
-            try:
-                got = _unbase64(m[0], most)
-            except OverflowError:
-                found.add(("opaque", *layer.to_root(m.start(), m.end())))
-                continue
-            if got:
-                a, b = layer.to_root(m.start(), m.end())
-                enter(Layer(got, [(0, a, b, False)]))
+            open_up(layer, m.start(), m.end(), _unbase64(m[0]))
     return base, sorted(found, key=key)
 
 
 def _may_hold(text: str) -> bool:
-    return "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) is not None
+    return "%" in text or "\\" in text or "&#" in text or "\x00" in text or _BASE64.search(text) is not None
 
 
 def joined(spans: list[Span]) -> str:

@@ -188,3 +188,28 @@ def test_passages_with_words_inserted_or_deleted(spark):
         for d in range(6 * n, 6 * n + 3):
             spans = [tuple(map(int, s.split(":"))) for s in got[d].passages.split(",") if s]
             assert got[d].component_id == 6 * n and any(min(e, 299 + len(p)) - max(s, 300) > 0.9 * len(p) for s, e in spans)
+
+
+def test_secrets_in_nested_and_binary_layers():
+    import base64
+    import gzip
+    from urllib.parse import quote_from_bytes, quote_plus
+
+    secret = b"x password = abcdefghijklmnop and AKIAABCDEFGHIJKLMN"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    packed = zlib.compress(secret)
+    noise = zlib.compress(bytes(range(256)) * 3)
+    hidden = [
+        b64(gzip.compress(packed)), b64(zlib.compress(gzip.compress(gzip.compress(secret)))), b64(gzip.compress(b"nothing here") + gzip.compress(secret)), b64(b"head" + packed),
+        b64(packed + b"\n" + secret), b64(secret + b"\0"), b64(b"\xff\xfe\x80" + secret), b64(secret.decode().encode("utf-16")), b64(secret.decode().encode("utf-16-be")), b64(noise + packed),
+        b64(b"80 " + secret), b64(packed[:-4]), "".join(f"%{c:02x}" for c in packed), quote_from_bytes(packed), quote_plus(gzip.compress(secret)), "".join(f"\\x{c:02x}" for c in packed), repr(packed)[2:-1], repr(gzip.compress(packed))[2:-1],
+    ]
+    for n, h in enumerate(hidden):
+        text = f"before the words {h} after them"
+        spans = {(k, a, b) for k, a, b in secrets.scan(text)[1]}
+        kinds = {k for k, *_ in spans}
+        assert {"assign", "access"} <= kinds, (n, h, spans)
+        masked = secrets.redact(text, sorted(spans))
+        assert masked.startswith("before the words ") and masked.endswith(" after them") and h not in masked, (n, masked)
+    bomb = b64(gzip.compress(zlib.compress(bytes(1 << 20))))
+    assert [k for k, *_ in secrets.scan(bomb, most=1 << 16)[1]] == ["opaque"]
