@@ -149,21 +149,24 @@ def anchor_candidates(spark, d):
     return c.select("post_id", "phrase", F.round("spec", 6).alias("spec"))
 
 
-def best_anchor(spark, d):
-    """Anchors in the source's first passage, for the matches that are to be prepared."""
-    c, n = _candidates(spark, d)
-    first = _passages(spark, d).where("idx = 0").select(F.col("post_id").alias("s"), F.col("text").alias("passage"))
-    pairs = _opps(spark, d).where("status = 'pending'").select("s", "t").join(first, "s")
-    return placement.best_anchor(pairs, c, n)
-
-
 def best_passage(spark, d):
-    """Best passages by hashed embeddings, for the matches that are to be prepared."""
+    """Best passages by hashed embeddings, for all matches."""
     tokens = _passages(spark, d).select("post_id", "idx", T.idf_tokens(F.col("text")).alias("tok"))
     p = V.hashed_embedding(tokens, ["post_id", "idx"], "tok")
     docs = V.mean_vector(p, ["post_id"], "vector").select(F.col("post_id").alias("id"), F.col("mean").alias("vector"))
-    pairs = _opps(spark, d).where("status = 'pending'").select("s", "t")
-    return placement.best_passage(pairs, p, docs, V.mean_vector(docs, [], "vector"), S.min_passage_score)
+    return placement.best_passage(_opps(spark, d).select("s", "t"), p, docs, V.mean_vector(docs, [], "vector"), S.min_passage_score)
+
+
+def _placed(spark, d):
+    """s, t, passage: the best passage of each match that isn't of low relevance, where its anchor is placed."""
+    text = _passages(spark, d).select(F.col("post_id").alias("s"), "idx", F.col("text").alias("passage"))
+    return best_passage(spark, d).where("status = 'ready'").select("s", "t", "idx").join(text, ["s", "idx"]).select("s", "t", "passage")
+
+
+def best_anchor(spark, d):
+    """Anchors in the source's best passage, for all matches."""
+    c, n = _candidates(spark, d)
+    return placement.best_anchor(_placed(spark, d), c, n)
 
 
 def confidence_score(spark, d):
@@ -172,15 +175,14 @@ def confidence_score(spark, d):
 
 
 def refine_anchor(spark, d):
-    """Refined anchors: the first words of a source's first passage, against the target's topic."""
+    """Refined anchors: the first words of a source's best passage, against the target's topic."""
 
     @F.pandas_udf("string")
     def refined(a: pd.Series, p: pd.Series, t: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([H.refine_anchor(*x) for x in zip(a, p, t, c, strict=True)])
 
-    first = _passages(spark, d).where("idx = 0").select(F.col("post_id").alias("s"), F.col("text").alias("passage"))
     targets = _posts(spark, d).select(F.col("post_id").alias("t"), "title", "content")
-    rows = _opps(spark, d).where("status = 'pending'").select("s", "t").join(first, "s").join(targets, "t")
+    rows = _placed(spark, d).join(targets, "t")
     return rows.select("s", "t", refined(F.substring_index("passage", " ", 2), "passage", "title", "content").alias("anchor"))
 
 
@@ -189,8 +191,7 @@ def ground_anchor(spark, d):
     def grounded(a: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series([H.ground_anchor(*x) for x in zip(a, p, strict=True)])
 
-    first = _passages(spark, d).where("idx = 0")
-    return first.select("post_id", grounded(F.upper(F.substring_index("text", " ", 3)), "text").alias("anchor"))
+    return _passages(spark, d).select("post_id", "idx", grounded(F.upper(F.substring_index("text", " ", 3)), "text").alias("anchor"))
 
 
 def _rewritten(spark, d):
