@@ -6,7 +6,7 @@ predecessor. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from linkloom.llm import bpe, langid, mixing, nearset, queries, secrets
 from linkloom.session import Workspace
@@ -36,8 +36,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none to three times, a repeat as a row of its own."""
     ws = Workspace(spark, "pipeline-mix")
-    copies = mixing.mix(docs, ws=ws).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    keys = ["_null", "_id", "_skey", "_size"]
+
+    def keyed(df: DataFrame, skey: Column, size: Column) -> DataFrame:
+        doc_id = F.col("doc_id").cast("long")
+        return df.withColumns({"_null": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_skey": skey, "_size": size})
+
+    # Rows alike in id, source and size are alike to the mix; each takes one of the decisions on them.
+    drawn = keyed(mixing.mix(docs, ws=ws), F.col("skey"), F.col("size")).groupBy(*keys).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_drawn"))
+    rows = keyed(docs, mixing.source_key(), mixing.word_count(F.col("text"))).withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+    taken = rows.join(drawn, keys).withColumn("_copies", F.element_at("_drawn", F.col("_row"))).where("_copies > 0")
     return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

@@ -32,6 +32,11 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def source_key() -> F.Column:
+    """A key of the column source; null is a source of its own and comes last."""
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+
+
 def _draw(*keys: int) -> float:
     """A uniform number in [0, 1) from integers, the same in every run."""
     x = 0x9E3779B97F4A7C15
@@ -173,8 +178,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, block: int = BLOCK
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "mix")
-    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    sizes = ws.cut(docs.select(F.col("doc_id").cast("long"), skey.alias("skey"), word_count(F.col("text")).alias("size")))
+    sizes = ws.cut(docs.select(F.col("doc_id").cast("long"), source_key().alias("skey"), word_count(F.col("text")).alias("size")))
     targets = ws.cut(source_targets(sizes, ws, weights, share))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_REPEATS))).otherwise(0.0)
     largest = targets.agg(F.max("n_docs")).first()[0] or 0

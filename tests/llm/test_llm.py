@@ -213,3 +213,22 @@ def test_secrets_in_nested_and_binary_layers():
         assert masked.startswith("before the words ") and masked.endswith(" after them") and h not in masked, (n, masked)
     bomb = b64(gzip.compress(zlib.compress(bytes(1 << 20))))
     assert [k for k, *_ in secrets.scan(bomb, most=1 << 16)[1]] == ["opaque"]
+
+
+def test_pipeline_mix_takes_each_row_by_its_own_decision(spark):
+    from collections import Counter
+
+    import corpus_pipeline as c
+
+    data = [(None if k % 3 == 0 else k % 7, " ".join(f"w{k}x{j}" for j in range(k % 9 + 1)), "en", "abc"[k % 3 % 2], 1, "x") for k in range(60)] + [(1, "same text", "en", "c", 1, "x")] * 5
+    docs = spark.createDataFrame(data, DOCS)
+
+    def counted(found):
+        out = Counter()
+        for doc_id, source, size, n in found:
+            out[doc_id, source, size] += n
+        return {k: n for k, n in out.items() if n}
+
+    want = counted((r.doc_id, r.skey[1:], r.size, r.copies) for r in mixing.mix(docs).collect())
+    got = c.mix(spark, docs, "").collect()
+    assert counted((r.doc_id, r.source, len(r.text.split()), 1) for r in got) == want and any(k[0] is None for k in want)
