@@ -14,21 +14,22 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from linkloom.llm.words import slices
 
-CACHE = 100_000
-_COMMON = re.compile(r"[\x00-\u024f\u2010-\u2027\u20ac]*")
-_SINGLE = (1,)
+CACHE = 150_000
+#: Characters that _LATIN tells apart, after normalising.
+_COMMON = re.compile(r"[\x00-\u02af\u2010-\u2027\u20ac]*")
+_STOP = "\n"
 #: Fixed value: the word pattern of the vocabulary file that _LATIN stands for.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The contract's word pattern for texts of _COMMON characters; letters come first as they are most.
-_LATIN = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:[stmd]|re|ve|ll)|[^\t-\r \x85\xa00-9a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f\xb2\xb3\xb9\xbc-\xbe]+")
+_LATIN = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:[stmd]|re|ve|ll)|[^\t-\r \x85\xa00-9a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\xb2\xb3\xb9\xbc-\xbe]+")
 
 
 def byte_letters() -> list[str]:
@@ -66,13 +67,18 @@ class Tokenizer:
         self.token_text: dict[int, str] = {}
         self.names = {n: s for s, n in self.vocab.items()} | {n: s for s, n in self.special.items()}
         self._back = back
-        self._table = {b: c for b, c in enumerate(self.letters)}
-        lengths: dict[str, set[int]] = {}
-        for name in self.vocab:
-            body = name[: -len(self.end)] if self.end and name.endswith(self.end) and name != self.end else name
-            lengths.setdefault(body[:2], set()).add(len(body))
-        #: By the first two letters, the lengths of tokens, longest first; one letter always matches.
-        self.heads = {k: tuple(sorted(v | {1}, reverse=True)) for k, v in lengths.items()}
+        # 255 is no byte of UTF-8; it parts words, and a token with a word end takes it in.
+        self._table = {b: c for b, c in enumerate(self.letters)} | {255: _STOP}
+        self.longest = ahocorasick.Automaton()
+        sizes = [0] * (max(self.names) + 1)
+        for name, n in self.vocab.items():
+            ends = self.end and name.endswith(self.end) and name != self.end
+            body = name[: -len(self.end)] + _STOP if ends else name
+            sizes[n] = len(body)
+            self.longest.add_word(body, n)
+        self.longest.make_automaton()
+        self.sizes = np.array(sizes)
+        self.single: dict[int, bool] = {}
         self._spec = spec if isinstance(spec, str) else spec.decode("utf-8")
         self._library = None
         self.ids_of: dict[str, str] = {}
@@ -134,27 +140,18 @@ class Tokenizer:
         parts = self.pieces(word)
         return [self.vocab[p] for p in (self.merge(parts) if len(parts) < 64 else self.merge_long(parts))]
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest matches; a match that reaches the end carries the word end."""
-        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._table)
-        vocab, heads, end = self.vocab, self.heads, self.end
-        size, out, at = len(letters), [], 0
-        while at < size:
-            rest = size - at
-            for n in heads.get(letters[at : at + 2], _SINGLE):
-                if n < rest:
-                    got = vocab.get(letters[at : at + n])
-                elif n == rest:
-                    got = vocab.get(letters[at:] + end)
-                else:
-                    continue
-                if got is not None:
-                    out.append(got)
-                    at += n
-                    break
-            else:
-                raise ValueError("a byte has no token")
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words at once: tokens, the word of each, and whether a word was taken up wholly.
+
+        A match that reaches the end of a word must carry the word end.
+        """
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        letters = (b"\xff".join(raw) + b"\xff").decode("latin-1").translate(self._table)
+        flat = np.array(list(self.longest.iter_long(letters)), dtype=np.int64).reshape(-1, 2)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        owner = np.searchsorted(np.cumsum(sizes), flat[:, 0], "right")
+        taken = np.bincount(owner, weights=self.sizes[flat[:, 1]], minlength=len(raw)).astype(np.int64)
+        return flat[:, 1], owner, taken == sizes
 
     def compatible(self, codes: np.ndarray) -> np.ndarray:
         """For each pair code, whether its two tokens stand side by side in an encoding."""
@@ -170,29 +167,38 @@ class Tokenizer:
 
     def _settle(self, a: int, b: int) -> bool:
         x, y = self.names[a], self.names[b]
-        body, tail = y, []
-        if self.end and y.endswith(self.end) and len(y) > len(self.end):
-            body, tail = y[: -len(self.end)], [y[-len(self.end) - 1] + self.end]
-        parts = list(x) + (list(body[:-1]) + tail if tail else list(body))
-        return self.merge(parts) == [x, y]
+        return self.merge(list(x) + self._letters(y)) == [x, y]
+
+    def _letters(self, name: str) -> list[str]:
+        if self.end and name.endswith(self.end) and len(name) > len(self.end):
+            body = list(name[: -len(self.end)])
+            return [*body[:-1], body[-1] + self.end]
+        return list(name)
+
+    def _sound(self, token: int) -> bool:
+        """Whether a token is the encoding of its own text."""
+        if token not in self.single:
+            self.single[token] = self.merge(self._letters(self.names[token])) == [self.names[token]]
+        return self.single[token]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Tokens of distinct words: propose, test all neighbours at once, mend failing words."""
-        proposals = [self.propose(w) for w in words]
-        sizes = np.fromiter(map(len, proposals), np.int64, len(words))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(sizes.sum()))
+        if not words:
+            return []
+        flat, owner, good = self.propose(words)
         if len(flat) > 1:
-            owner = np.repeat(np.arange(len(words)), sizes)
             inside = owner[1:] == owner[:-1]
             codes = (flat[:-1] << 32 | flat[1:])[inside]
-            bad = np.unique(owner[1:][inside][~self.compatible(codes)]) if len(codes) else []
-        else:
-            bad = []
+            if len(codes):
+                good[owner[1:][inside][~self.compatible(codes)]] = False
+        counts = np.bincount(owner, minlength=len(words))
+        ends = np.cumsum(counts)
+        alone = np.flatnonzero(good & (counts == 1))
+        good[alone] = np.fromiter(map(self._sound, flat[ends[alone] - 1].tolist()), bool, len(alone))
         self.proposed_words += len(words)
-        self.exact_words += len(bad)
-        for n in bad:
-            proposals[n] = self.exact(words[n])
-        return proposals
+        self.exact_words += int(len(words) - good.sum())
+        tokens, ends = flat.tolist(), ends.tolist()
+        return [tokens[a:b] if ok else self.exact(w) for w, ok, a, b in zip(words, good.tolist(), [0, *ends], ends, strict=False)]
 
     def split(self, text: str) -> list[str]:
         """Words in order, with special tokens as themselves."""
@@ -209,8 +215,8 @@ class Tokenizer:
         Which rare characters are letters depends on a library's Unicode tables;
         texts with any past the Latin blocks are split by the tokenizers library.
         """
-        if text.isascii() or _COMMON.fullmatch(text):
-            return (_LATIN if self._latin else self.pattern).findall(self.normal(text))
+        if self._latin and (text.isascii() or _COMMON.fullmatch(normal := self.normal(text))):
+            return _LATIN.findall(text.lower() if text.isascii() else normal)
         if self._library is None:
             from tokenizers import Tokenizer as Library
 
@@ -220,15 +226,16 @@ class Tokenizer:
         return [bytes(map(back.__getitem__, p)).decode("utf-8") for p, _ in pieces]
 
     def learn(self, texts_words: list[list[str]]) -> None:
-        """Put the tokens of all words into the caches, which are emptied when they're full."""
-        if len(self.ids_of) > CACHE:
-            self.ids_of.clear()
-            self.text_of.clear()
-        if len(self.pairs) > 4 * CACHE:
-            self.pairs.clear()
+        """Put the tokens of all words into the caches; full ones are cut to the words in use."""
         new: set[str] = set()
         for words in texts_words:
             new.update(words)
+        if len(self.ids_of) > CACHE:
+            # Words in use stay.
+            kept = new & self.ids_of.keys()
+            self.ids_of, self.text_of = ({w: old[w] for w in kept} for old in (self.ids_of, self.text_of))
+        if len(self.pairs) > 4 * CACHE:
+            self.pairs.clear()
         fresh = list(new - self.ids_of.keys())
         plain = [w for w in fresh if w not in self.special]
         tokens = dict(zip(plain, self.encode_words(plain), strict=True)) | {w: [self.special[w]] for w in fresh if w in self.special}
@@ -251,17 +258,15 @@ class Tokenizer:
         return out
 
 
-_loaded: dict[str, Tokenizer] = {}
-
+_loaded: dict[bytes, Tokenizer] = {}
 
-def tokenizer(path: str) -> Tokenizer:
-    """The vocabulary at a local path or under a name given to addFile; kept by the worker."""
-    if path not in _loaded:
-        from os.path import exists
 
-        with open(path if exists(path) else SparkFiles.get(path), "rb") as f:
-            _loaded[path] = Tokenizer(f.read())
-    return _loaded[path]
+def tokenizer(spec: bytes) -> Tokenizer:
+    """The tokenizer of a vocabulary file's content; kept by the worker."""
+    key = hashlib.sha256(spec).digest()
+    if key not in _loaded:
+        _loaded[key] = Tokenizer(spec)
+    return _loaded[key]
 
 
 ENCODED = "doc_id long, n_tokens long, ids string, decoded string"
@@ -270,14 +275,20 @@ ENCODED = "doc_id long, n_tokens long, ids string, decoded string"
 def encode(docs: DataFrame, vocabulary: str, column: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (joined by a space) and decoded text of each row of docs.
 
-    Null counts as empty: no tokens, empty strings. With `digest` the last two
-    are the SHA-256 of their UTF-8 form in lower-case hexadecimal digits.
+    `vocabulary` is a file of the driver, whose content (a few MB) is broadcast.
+    Null and empty texts have no tokens and empty strings; very long texts are
+    encoded whole. Every row is encoded by itself, so repeated rows and ties give
+    equal rows and null ids stay. An empty table gives an empty result; other
+    columns are ignored. With `digest` the last two columns are the SHA-256 of
+    their UTF-8 form in lower-case hexadecimal digits.
     """
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     form = (lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()) if digest else str
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else ENCODED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok = tokenizer(shared.value)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 rows = tok.encode_batch(part.column(1).to_pylist())

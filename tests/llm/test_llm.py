@@ -158,6 +158,20 @@ def test_bpe_equals_the_library(docs, none):
     assert len(rows(bpe.encode(docs, path, digest=True))) == len(ROWS) and rows(bpe.encode(none, path)) == []
 
 
+def test_bpe_equals_the_library_on_single_characters_and_random_strings():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(queries.VOCABULARY)
+    lib, own = Tokenizer.from_file(path), bpe.Tokenizer(open(path, "rb").read())
+    rng = np.random.default_rng(11)
+    chars = [chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x2028), 0x20AC]]
+    rare = [*chars, *map(chr, [0x301, 0x345, 0x2C65, 0x3A3, 0x416, 0x4E2D, 0x1F600, 0x200B, 0xE01])]
+    texts = [f"a{c}b {c}{c} {c}" for c in chars] + ["".join(rng.choice(chars, 12)) for _ in range(2000)] + ["".join(rng.choice(rare, 9)) for _ in range(1000)]
+    for t, (n, ids, text) in zip(texts, own.encode_batch(texts), strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert (n, ids, text) == (len(want), " ".join(map(str, want)), lib.decode(want, skip_special_tokens=False)), ascii(t)
+
+
 def test_pipeline_keeps_clean_documents(spark, docs):
     import corpus_pipeline as c
 
