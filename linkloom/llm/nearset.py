@@ -86,26 +86,23 @@ def _orders(trees: int) -> list[np.ndarray]:
     return [np.argsort(mix(np.arange(SIGNATURE, dtype=U) + U(1000 * (t + 1))), kind="stable") for t in range(trees)]
 
 
-def _paths(trees: int, depth: int):
-    """Rows (doc_id, tree, node) at a depth from rows (doc_id, sig[, tree])."""
+def _paths(trees: int, depth: int, most: int):
+    """Rows (doc_id, tree, node, rest) at a depth from rows (doc_id, sig); rest: the tokens chosen from there to the greatest depth."""
     orders = _orders(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE).astype(U)
-            own = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
+            ids = batch.column(0)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE)
             for t in range(trees):
-                pick = slice(None) if own is None else np.flatnonzero(own == t)
-                part = sig[pick]
-                if not len(part):
-                    continue
-                node = np.full(len(part), t + 1, dtype=U)
+                node = np.full(len(sig), t + 1, dtype=U)
                 for d in range(depth):
-                    node = mix(node * U(0x9E3779B97F4A7C15) + part[:, orders[t][d]])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(np.full(len(part), t, np.int32)), pa.array(node.view(np.int64))], ["doc_id", "tree", "node"])
+                    node = mix(node * U(0x9E3779B97F4A7C15) + sig[:, orders[t][d]].astype(U))
+                rest = np.ascontiguousarray(sig[:, orders[t][depth:most]])
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * (most - depth)), len(sig), [None, pa.py_buffer(rest.tobytes())]).cast(pa.binary()) if most > depth else pa.array([b""] * len(sig), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(sig), t, np.int32)), pa.array(node.view(np.int64)), packed], ["doc_id", "tree", "node", "rest"])
 
     return run
 
@@ -262,22 +259,25 @@ def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[Data
     random into parts of node size, in each tree anew (big: the whole node,
     node: the part).
     """
-    frontier = ws.cut(reps.select("doc_id", "sig").mapInArrow(_paths(trees, FIRST_DEPTH), "doc_id long, tree int, node long"))
+    frontier = ws.cut(reps.select("doc_id", "sig").mapInArrow(_paths(trees, FIRST_DEPTH, MOST_DEPTH), "doc_id long, tree int, node long, rest binary"))
     leaves: list[DataFrame] = []
     dealt = frontier.select(F.col("node").alias("big"), "node", "doc_id", F.lit(0).cast("long").alias("low")).where("false")
     for depth in range(FIRST_DEPTH, MOST_DEPTH + 1):
         sizes = ws.cut(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
-        sized = frontier.join(sizes, "node")
-        leaves.append(sized.where(F.col("n") <= NODE).select("node", "doc_id"))
-        large = sized.where(F.col("n") > NODE)
-        if not sizes.where(F.col("n") > NODE).head(1):
+        many = sizes.where(F.col("n") > NODE)
+        # Large nodes are few, and their members don't go to one task.
+        small = frontier.select("node", "doc_id").join(many.select("node"), "node", "left_anti")
+        leaves.append(small.join(sizes.where(F.col("n") <= NODE).select("node"), "node").select("node", "doc_id"))
+        if not many.head(1):
             break
+        large = frontier.join(many, "node")
         if depth == MOST_DEPTH:
             parts = F.ceil(F.col("n") / NODE)
             dealt = large.select(F.col("node").alias("big"), part_of("node", F.pmod(F.xxhash64("doc_id", "tree"), parts)).alias("node"), "doc_id", "low")
         else:
-            below = large.select("doc_id", "tree").join(reps.select("doc_id", "sig"), "doc_id").select("doc_id", "sig", "tree")
-            frontier = ws.cut(below.mapInArrow(_paths(trees, depth + 1), "doc_id long, tree int, node long"))
+            # Each member takes its tokens along, so that a step down moves the large nodes' members only.
+            token = F.substring("rest", 2 * (depth - FIRST_DEPTH) + 1, 2)
+            frontier = ws.cut(large.select("doc_id", "tree", F.xxhash64("node", token).alias("node"), "rest"))
     members = leaves[0]
     for part in leaves[1:]:
         members = members.union(part)
