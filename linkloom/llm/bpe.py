@@ -243,6 +243,10 @@ class Tokenizer:
             self.ids_of[w] = " ".join(map(str, ids))
             self.text_of[w] = self.decode(ids)
 
+    def forget(self) -> None:
+        """Empty the caches: workers outlive their tasks."""
+        self.ids_of, self.text_of, self.pairs = {}, {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' names, one space between them: this vocabulary has no decoder."""
         return " ".join(map(self.names.__getitem__, ids))
@@ -289,10 +293,13 @@ def encode(docs: DataFrame, vocabulary: str, column: str = "text", digest: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(shared.value)
+        # A worker that was cut short may still hold words.
+        tok.forget()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 rows = tok.encode_batch(part.column(1).to_pylist())
                 cols = [part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([form(r[1]) for r in rows], pa.string()), pa.array([form(r[2]) for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"])
+        tok.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ rounding is that of a source's smallest documents.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from linkloom.session import Workspace
 
@@ -23,6 +23,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3.0
 BLOCK = 512
+#: Repeats of a row that one task writes out at once.
+REPEATS = 4096
+#: Each pass of the targets stops one source more at its ceiling, or ends.
+MOST_PASSES = 1000
 RESERVE = 8
 _EPS = 1e-9
 
@@ -130,8 +134,6 @@ def _ranked_sources(sources: DataFrame, ws: Workspace) -> DataFrame:
         before[part], total = total, total + counts[part]
     if not before:
         return spread.select("skey", "source_size", "n_docs", F.lit(0).alias("rank"))
-    from pyspark.sql import Window
-
     offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
     within = F.row_number().over(Window.partitionBy("_part").orderBy("skey")) - 1
     return spread.select("skey", "source_size", "n_docs", (within + offset[F.col("_part")]).alias("rank"))
@@ -149,7 +151,7 @@ def source_targets(sizes: DataFrame, ws: Workspace, weights=WEIGHTS, share: floa
     table = ws.cut(ranked.select("skey", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * MOST_REPEATS).alias("ceiling")))
     total = float(table.agg(F.sum("source_size")).first()[0] or 0) * share
     level = 0.0
-    for _ in range(1000):
+    for _ in range(MOST_PASSES):
         full = F.col("ceiling") <= F.col("weight") * F.lit(level)
         held, free = table.agg(F.sum(F.when(full, F.col("ceiling")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
         new = (total - (held or 0.0)) / free if free else level
@@ -157,6 +159,8 @@ def source_targets(sizes: DataFrame, ws: Workspace, weights=WEIGHTS, share: floa
             level = new
             break
         level = new
+    else:
+        raise RuntimeError(f"targets did not settle in {MOST_PASSES} passes")
     return table.select("skey", "source_size", "n_docs", F.least("ceiling", F.col("weight") * F.lit(level)).alias("target"))
 
 
@@ -168,17 +172,36 @@ def _flyer(landing: bool):
     return fly
 
 
+KEYS = ["doc_id", "skey", "size", "fp"]
+
+
+def _key_columns() -> list[F.Column]:
+    """KEYS of a row of documents; fp is a fingerprint of the text. Rows with one key are alike to the mix."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("fp")]
+
+
+def _numbered(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Rows with `nr`, from 0 for each key: counted first, then written out again, so that repeats never meet in one task."""
+    counted = ws.cut(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("m")))
+    once = counted.where("m = 1").select(*KEYS, F.lit(0).cast("long").alias("nr"))
+    parts = counted.where("m > 1").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / REPEATS))))
+    dealt = parts.repartition(F.xxhash64(*KEYS), "b")
+    each = F.explode(F.sequence(F.col("b") * REPEATS, F.least(F.col("m"), (F.col("b") + 1) * REPEATS) - 1))
+    return once.union(dealt.select(*KEYS, each.alias("nr")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, block: int = BLOCK, ws: Workspace | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken, p0 for each row of docs.
+    """doc_id, size, source_size, target, taken, copies, p0, skey, fp for each row of docs.
 
     docs: doc_id, text, source. Null and empty texts have size 0; a null source
     is a source of its own and comes last; a source without words has target 0
-    and nothing is taken. Equal rows are separate rows. An empty table gives an
-    empty result. Other columns are ignored.
+    and nothing is taken. Equal rows, null ids included, are separate rows with
+    decisions of their own. An empty table gives an empty result. Other columns
+    are ignored.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "mix")
-    sizes = ws.cut(docs.select(F.col("doc_id").cast("long"), source_key().alias("skey"), word_count(F.col("text")).alias("size")))
+    sizes = ws.cut(_numbered(docs.select(*_key_columns()), ws))
     targets = ws.cut(source_targets(sizes, ws, weights, share))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_REPEATS))).otherwise(0.0)
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
@@ -187,11 +210,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, block: int = BLOCK
     rated = (
         sizes.join(targets, "skey")
         .withColumn("rate", rate)
-        .withColumn("h", F.xxhash64("doc_id", "size", "skey"))
-        .select("doc_id", "skey", "size", "source_size", "target", "h", "n_docs", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("p0"))
+        .withColumn("h", F.xxhash64(*KEYS, "nr"))
+        .select("doc_id", "skey", "size", "fp", "source_size", "target", "h", "n_docs", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("p0"))
     )
     n_blocks = F.ceil(F.col("n_docs") / block)
-    schema = "doc_id long, skey string, size long, source_size long, target double, h long, n_docs long, whole int, p0 double, p double, blk long"
+    schema = "doc_id long, skey string, size long, fp long, source_size long, target double, h long, n_docs long, whole int, p0 double, p double, blk long"
     state = rated.withColumns({"p": F.col("p0"), "blk": F.pmod(F.shiftright("h", 20), n_blocks)})
     blocks, meet = max(1, -(-largest // block)), max(2, block // (RESERVE + 2))
     done: list[DataFrame] = []
@@ -210,4 +233,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, block: int = BLOCK
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.round("p").cast("int")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("p0"), "skey")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("p0"), "skey", "fp")
+
+
+def repeated(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """The rows of docs as often as the mix takes them: none to three times. All columns stay.
+
+    Rows with one key take the decisions on them in any order; null keys count
+    as equal. Texts move once, to meet the decision on their row, by the same
+    join at every size.
+    """
+    ws = ws or Workspace(docs.sparkSession, "mix")
+    most, keys = int(MOST_REPEATS), ["no_id", "id", "skey", "fp"]
+    own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"), F.col("skey"), F.col("fp")]
+    taken = mix(docs, ws=ws).where("copies > 0").select(*own, "copies")
+    drawn = taken.groupBy(*keys).agg(*[F.count(F.when(F.col("copies") >= k, 1)).alias(f"n{k}") for k in range(1, most + 1)])
+    rows = docs.select(F.struct("*").alias("row"), F.struct(*_key_columns()).alias("key"))
+    rows = rows.select("row", F.col("key.doc_id").isNull().alias("no_id"), F.coalesce("key.doc_id", F.lit(0)).cast("long").alias("id"), "key.skey", "key.fp")
+    nr = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    met = rows.join(drawn.hint("merge"), keys).withColumn("nr", nr)
+    taken = met.withColumn("copies", sum((F.col("nr") <= F.col(f"n{k}")).cast("int") for k in range(1, most + 1))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
