@@ -6,7 +6,7 @@ predecessor. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.llm import bpe, langid, mixing, nearset, queries, secrets
 from linkloom.session import Workspace
@@ -18,11 +18,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, model)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of docs has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; a repeated row stays once."""
-    kept = nearset.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    """One document of each group stays, the one with the smallest doc_id.
+
+    Where a doc_id is null or comes twice, rows are told apart by numbers of
+    their own, so that a row goes only if another with a near text stays. Texts
+    without words stay.
+    """
+    ws, row = Workspace(spark, "pipeline-near"), _free(docs, "row_number")
+    unclear = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").head(1)
+    rows = ws.cut(docs.withColumn(row, F.monotonically_increasing_id())) if unclear else docs.withColumn(row, F.col("doc_id").cast("long"))
+    groups = nearset.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80, ws=ws)
+    gone = ws.cut(groups.where("not kept").select(F.col("doc_id").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none to three times, a repeat as a row of its own."""
-    ws = Workspace(spark, "pipeline-mix")
-    keys = ["_null", "_id", "_skey", "_size"]
-
-    def keyed(df: DataFrame, skey: Column, size: Column) -> DataFrame:
-        doc_id = F.col("doc_id").cast("long")
-        return df.withColumns({"_null": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_skey": skey, "_size": size})
-
-    # Rows alike in id, source and size are alike to the mix; each takes one of the decisions on them.
-    drawn = keyed(mixing.mix(docs, ws=ws), F.col("skey"), F.col("size")).groupBy(*keys).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_drawn"))
-    rows = keyed(docs, mixing.source_key(), mixing.word_count(F.col("text"))).withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
-    taken = rows.join(drawn, keys).withColumn("_copies", F.element_at("_drawn", F.col("_row"))).where("_copies > 0")
-    return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return mixing.repeated(docs, Workspace(spark, "pipeline-mix")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
