@@ -86,18 +86,19 @@ class Layer:
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with each match decoded in place; None if nothing changes."""
-    parts, cuts, at, size = [], [], 0, 0
+    parts, cuts, at, size, piece = [], [], 0, 0, 0
+    own, text = layer.cuts, layer.text
 
     def keep(lo: int, hi: int) -> None:
-        nonlocal size
+        # A kept stretch is cut where the layer's own pieces are; both go forward only.
+        nonlocal size, piece
         while lo < hi:
-            # A kept stretch is cut where the layer's own pieces are.
-            k = layer._piece(lo)
-            nxt = next((c[0] for c in layer.cuts[layer.cuts.index(k) + 1 :]), len(layer.text)) if len(layer.cuts) > 1 else len(layer.text)
-            stop = min(hi, nxt)
-            a, b = layer.to_root(lo, stop)
-            cuts.append((size, a, b, k[3]))
-            parts.append(layer.text[lo:stop])
+            while piece + 1 < len(own) and own[piece + 1][0] <= lo:
+                piece += 1
+            start, a, b, exact = own[piece]
+            stop = min(hi, own[piece + 1][0]) if piece + 1 < len(own) else hi
+            cuts.append((size, a + lo - start, a + stop - start, True) if exact else (size, a, b, False))
+            parts.append(text[lo:stop])
             size += stop - lo
             lo = stop
 
@@ -242,7 +243,7 @@ def scan(text: str | None, most: int = LAYER_BYTES) -> tuple[list[Span], list[Sp
     def enter(layer: Layer | None) -> None:
         if layer is None:
             return
-        tag = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + repr(layer.cuts[0][1:3]).encode(), digest_size=16).digest()
+        tag = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + repr(layer.cuts).encode(), digest_size=16).digest()
         if tag not in seen:
             seen.add(tag)
             found.update((kind, *layer.to_root(a, b)) for kind, a, b in base_spans(layer.text))
@@ -302,7 +303,12 @@ SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_spans str
 
 
 def scan_documents(docs: DataFrame, column: str = "text", most: int = LAYER_BYTES) -> DataFrame:
-    """One row for each row of docs: counts and spans of the base, and all spans."""
+    """One row for each row of docs: counts and spans of the base, and all spans.
+
+    Null counts as empty: no spans. Every row is scanned by itself, so repeated
+    rows give equal rows and null ids stay. An empty table gives an empty
+    result; other columns are ignored.
+    """
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "n_spans"]
 
