@@ -16,26 +16,32 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import regex
+from pyspark.sql import DataFrame, Window, functions as F
 
 from linkloom.llm.words import slices
 
 #: Training documents of each language at most, about; drawn by a hash of doc_id.
 SAMPLE = 400
-#: Distinct training words of a language kept at most, the most frequent.
-MOST_WORDS = 5_000
+#: Languages learnt at most, those of most labelled rows: with SAMPLE, the bound of the rows learnt from.
 MOST_LANGUAGES = 1000
 ROUNDS = 2
 CACHE = 300_000
 LONGEST_PIECE = 10
-LONGEST_WORD = 32
+#: Steps of the forward sums after which they are scaled: 1e-7 a letter stays far above the least double.
+SCALE_EVERY = 12
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+_STRICT = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters."""
-    return _LETTERS.findall(text.lower())
+    """Lower-case runs of letters (categories L)."""
+    out = _LETTERS.findall(text.lower())
+    if not text.isascii() and not all(map(str.isalpha, out)):
+        # The quick pattern also takes numbers that aren't digits, such as fractions.
+        out = [w for run in out for w in ([run] if run.isalpha() else _STRICT.findall(run))]
+    return out
 
 
 def is_training(doc_id) -> F.Column:
@@ -60,60 +66,24 @@ def public_pieces(tiktoken_file: str, longest: int = LONGEST_PIECE) -> list[str]
     return sorted(out)
 
 
-def _marked(word: str) -> str:
-    return "▁" + word[:LONGEST_WORD]
-
-
-def _expected(words: dict[str, int], prob: dict[str, float], floor: float) -> Counter:
-    """Expected piece counts of weighted words by forward and backward sums."""
-    out: Counter = Counter()
-    most = LONGEST_PIECE + 1
-    for word, weight in words.items():
-        w = _marked(word)
-        n = len(w)
-        arcs, ahead = [], [0.0] * (n + 1)
-        ahead[0] = 1.0
-        for e in range(1, n + 1):
-            total = 0.0
-            for s in range(max(0, e - most), e):
-                p = prob.get(w[s:e]) or (floor if e - s == 1 else 0.0)
-                if p:
-                    arcs.append((s, e, p))
-                    total += ahead[s] * p
-            ahead[e] = total
-        if ahead[n] <= 0.0:
-            continue
-        back = [0.0] * (n + 1)
-        back[n] = 1.0
-        for s, e, p in reversed(arcs):
-            back[s] += p * back[e]
-        scale = weight / ahead[n]
-        for s, e, p in arcs:
-            out[w[s:e]] += ahead[s] * p * back[e] * scale
-    return out
-
-
 def learn(word_counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> dict:
     """Piece probabilities of each language from its word counts.
 
     Single characters are always pieces, so every word has a segmentation.
     """
-    vocabulary, model = set(pieces), {}
+    model: dict[str, dict[str, float]] = {}
     for lang, words in sorted(word_counts.items()):
-        start: Counter = Counter()
-        for word, c in words.items():
-            w = _marked(word)
-            for s in range(len(w)):
-                for e in range(s + 1, min(len(w), s + LONGEST_PIECE + 1) + 1):
-                    if e - s == 1 or w[s:e] in vocabulary:
-                        start[w[s:e]] += c * (e - s)
-        total = sum(start.values()) or 1
-        prob = {p: c / total for p, c in start.items()}
+        names = sorted({*pieces, *(c for w in words for c in "▁" + w)})
+        index = Pieces({"langs": [lang], "table": {p: (1.0,) for p in names}, "floor": 0.0})
+        used = index.expected(words, None)
+        length = np.array([0, 0, *map(len, names)], dtype=np.float64)
+        prob = used * length
         for _ in range(rounds):
-            counts = _expected(words, prob, 1e-9)
-            total = sum(counts.values()) or 1.0
-            prob = {p: c / total for p, c in counts.items() if c > 1e-4 or len(p) == 1}
-        model[lang] = prob
+            index.prob = (prob / max(prob.sum(), 1e-300))[:, None]
+            prob = index.expected(words, index.prob[:, 0])
+            prob = np.where((prob > 1e-4) | (length == 1), prob, 0.0)
+        total = prob.sum() or 1.0
+        model[lang] = {p: c / total for p, c in zip(names, prob[2:].tolist(), strict=True) if c > 0}
     langs = sorted(model)
     every = sorted(set().union(*(model[x].keys() for x in langs))) if langs else []
     # A little of each language's mass goes to the pieces of the others.
@@ -125,11 +95,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The model's pieces by length, as sorted hashes with rows of probabilities.
-
-    Probabilities are at least about 1e-7 and words have LONGEST_WORD letters at
-    most, so products stay far above the least double.
-    """
+    """The model's pieces by length, as sorted hashes with rows of probabilities; forward and backward sums."""
 
     def __init__(self, model: dict):
         self.langs = len(model["langs"])
@@ -147,57 +113,102 @@ class Pieces:
             self.by_length[n] = h[order], np.array(own)[order] + 2
         self.by_length.setdefault(1, (np.zeros(1, np.uint64), np.zeros(1, np.int64)))
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word (rows) in each language: sums over all segmentations.
-
-        Words of more than LONGEST_WORD letters are scored in parts of that length.
-        """
-        parts = [w[k : k + LONGEST_WORD] for w in words for k in range(0, len(w), LONGEST_WORD)]
-        owner = np.repeat(np.arange(len(words)), [-(-len(w) // LONGEST_WORD) for w in words])
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        out = np.zeros((len(words), self.langs))
+    def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, dict[int, np.ndarray], int]]:
+        """Words of one length at a time: their places, the rows of their pieces by size and start, their letters with the mark."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == n)
-            for at in range(0, len(own), 4096):
-                some = own[at : at + 4096]
-                text = "".join(["▁" + parts[k] for k in some.tolist()])
+            step = max(1, (1 << 17) // (n + 1))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                text = "".join(["▁" + words[k] for k in some.tolist()])
                 chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(some), n + 1).astype(np.uint64)
-                np.add.at(out, owner[some], np.log(self._forward(chars)))
-        return out
+                yield some, self._rows(chars), n + 1
 
-    def _forward(self, chars: np.ndarray) -> np.ndarray:
-        w, n = chars.shape
+    def _rows(self, chars: np.ndarray) -> dict[int, np.ndarray]:
         rows: dict[int, np.ndarray] = {}
         h = chars
-        for size in range(1, min(n, max(self.by_length)) + 1):
+        for size in range(1, min(chars.shape[1], max(self.by_length)) + 1):
             if size > 1:
                 h = h[:, :-1] * _BASE + chars[:, size - 1 :]
             if size in self.by_length:
                 keys, index = self.by_length[size]
                 k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 rows[size] = np.where(keys[k] == h, index[k], int(size == 1))
-        ahead = np.zeros((n + 1, w, self.langs))
+        return rows
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word (rows) in each language: sums over all segmentations, whatever its length."""
+        out = np.zeros((len(words), self.langs))
+        for some, rows, n in self._groups(words):
+            out[some] = self._forward(rows, n, len(some))
+        return out
+
+    def _forward(self, rows: dict[int, np.ndarray], n: int, w: int) -> np.ndarray:
+        """Logarithms of the forward sums; those that later ones need are kept in a ring, and scaled."""
+        ring = max(rows) + 1
+        ahead = np.zeros((min(n + 1, ring), w, self.langs))
         ahead[0] = 1.0
+        logs = np.zeros((w, self.langs))
         for e in range(1, n + 1):
+            new = np.zeros((w, self.langs))
             for size, row in rows.items():
                 if size <= e:
                     at = row[:, e - size]
                     hit = np.flatnonzero(at)
                     if len(hit) == w:
-                        ahead[e] += ahead[e - size] * self.prob[at]
+                        new += ahead[(e - size) % ring] * self.prob[at]
                     elif len(hit):
-                        ahead[e, hit] += ahead[e - size, hit] * self.prob[at[hit]]
-        return ahead[n]
+                        new[hit] += ahead[(e - size) % ring, hit] * self.prob[at[hit]]
+            ahead[e % ring] = new
+            if e % SCALE_EVERY == 0:
+                logs += np.log(new)
+                ahead /= new
+        return logs + np.log(ahead[n % ring])
+
+    def expected(self, words: dict[str, int], prob: np.ndarray | None) -> np.ndarray:
+        """Expected count of each piece in weighted words by forward and backward sums; without probabilities, all its places."""
+        out = np.zeros(len(self.prob))
+        names, weights = list(words), np.array(list(words.values()), dtype=np.float64)
+        for some, rows, n in self._groups(names):
+            weight = weights[some]
+            if prob is None:
+                for row in rows.values():
+                    out += np.bincount(row.ravel(), weights=np.repeat(weight, row.shape[1]), minlength=len(out))
+                continue
+            p = {size: np.where(row > 1, prob[row], 0.0) for size, row in rows.items()}
+            w = len(some)
+            # Sums of place e are scaled by grow[e]; a word whose letters are all known has none of zero.
+            ahead, grow = np.zeros((n + 1, w)), np.zeros((n + 1, w))
+            ahead[0] = 1.0
+            for e in range(1, n + 1):
+                for size, x in p.items():
+                    if size <= e:
+                        ahead[e] += ahead[e - size] * x[:, e - size] * np.exp(grow[e - size] - grow[e - 1])
+                top = np.where(ahead[e] > 0, ahead[e], 1.0)
+                ahead[e] /= top
+                grow[e] = grow[e - 1] + np.log(top)
+            back = np.zeros((n + 1, w))
+            back[n] = 1.0
+            # back is scaled by grow[n] - grow[e], so that products need no further factor.
+            for s in range(n - 1, -1, -1):
+                for size, x in p.items():
+                    if s + size <= n:
+                        back[s] += x[:, s] * back[s + size] * np.exp(grow[s] - grow[s + size])
+            good = ahead[n] > 0
+            for size, row in rows.items():
+                s = np.arange(n - size + 1)
+                share = ahead[s].T * p[size] * back[s + size].T * np.exp((grow[s] - grow[s + size]).T) * (weight * good)[:, None]
+                out += np.bincount(row.ravel(), weights=share.ravel(), minlength=len(out))
+        out[:2] = 0.0
+        return out
 
 
 def training_words(docs: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str, int]]:
-    """Word counts of each language in the sample; at most MOST_WORDS words of a language come here."""
-    from pyspark.sql import Window
-
+    """Word counts of each language in a sample of about `sample` labelled rows of each of MOST_LANGUAGES languages at most."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & is_training("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in found.collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
@@ -211,10 +222,10 @@ def training_words(docs: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str,
             rows = [(lang, w, c) for lang, counts in per.items() for w, c in counts.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "c"])
 
+    # Languages that aren't learnt have no share, and no row drawn.
     counted = labelled.where(drawn).select("text", "lang").mapInArrow(run, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "word"))).where(F.col("r") <= MOST_WORDS)
     out: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for r in top.select("lang", "word", "c").collect():
+    for r in counted.select("lang", "word", "c").toLocalIterator():
         out[r["lang"]][r["word"]] = r["c"]
     return {lang: dict(sorted(w.items())) for lang, w in out.items()}
 
@@ -266,7 +277,13 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: dict, column: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for each row of docs. Nothing but the text is looked at."""
+    """doc_id, lang_pred, score for each row of docs. Nothing but the text is looked at.
+
+    Null, empty and letterless texts give ('und', 0); very long texts and words
+    are scored whole. Repeated rows give equal rows, null ids stay; ties go to
+    the first language by code point. An empty table gives an empty result;
+    other columns are ignored. Without a language learnt all are 'und'.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,6 +121,52 @@ def test_language_and_toxicity(spark, docs, none):
     assert rows(toxicity.score(none, toxicity.train(none, labels))) == []
 
 
+def test_language_of_long_words_numbers_and_many_words():
+    pieces = ["▁the", "the", "ing", "▁der", "sch", "und"]
+    m = langid.learn({"de": {"schule": 5, "und" * 40: 1}, "en": {"thing": 5, "the": 9}}, pieces)
+    table, floor = m["table"], m["floor"]
+
+    def brute(w, j):
+        logs = [0.0] + [-np.inf] * len(w)
+        for e in range(1, len(w) + 1):
+            arcs = [(s, table[w[s:e]][j] if w[s:e] in table else floor if e - s == 1 else 0.0) for s in range(max(0, e - 12), e)]
+            logs[e] = np.logaddexp.reduce([logs[s] + np.log(p) for s, p in arcs if p])
+        return logs[-1]
+
+    words = ["thethe" * 50, "schunding" * 7, "q" * 3000, "der"]
+    assert np.allclose(langid.Pieces(m).scores(words), [[brute("▁" + w, j) for j in range(2)] for w in words])
+    assert [x for x, _ in langid.Scorer(m).score(["²³", "½ ¼", "12", "the ²", None, ""])] == ["und", "und", "und", "en", "und", "und"]
+    counts = {w: 1 for w in ("".join(np.random.default_rng(k).choice(list("abcdefgh"), 6)) for k in range(7000))}
+    assert len(counts) > 6000 and langid.learn({"xx": counts}, [])["langs"] == ["xx"]
+
+
+def test_language_held_out(spark):
+    path = "/root/testdata/sf0.01"
+    got = queries.op5_language(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert len(got) > 200 and (got["lang"] == got["lang_pred"]).mean() > 0.98
+
+
+def test_secrets_base_against_plain_loops_and_long_escapes(spark):
+    import re
+    import time
+
+    path = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{path}/documents.parquet").collect():
+        t, out = r.text or "", []
+        for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A):
+            out += [(m.start(), 0, m.end())] if len(m[1]) >= 12 else []
+        out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+        want[r.doc_id] = (*(sum(k == n for _, k, _ in out) for n in range(3)), hashlib.sha256(text.encode()).hexdigest())
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in queries.op4_secrets(spark, path).collect()}
+    assert got == want and any(sum(w[:3]) for w in want.values())
+    start = time.time()
+    text = "\\u005cu0041 b " * 80000 + "\\u005cu0070assword=abcdefghijklmnop"
+    assert len(text) > 1 << 20 and [k for k, *_ in secrets.scan(text)[1]] == ["assign"] and time.time() - start < 30
+
+
 def test_lm_against_brute_force(docs, none):
     from collections import Counter
     from math import log
