@@ -1,9 +1,11 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 Terms are the distinct words of a text and their prefixes, hashed. The terms
-that labels depend on most become the inputs of a second-order factorization
-machine: a linear weight for each, and a vector whose inner products weigh
-every pair, so that two terms can mean together what neither does alone.
+that labels depend on, alone or as a pair of frequent terms, become the inputs
+of a second-order factorization machine: a linear weight for each, and a vector
+whose inner products weigh every pair, so that two terms can mean together what
+neither does alone. Terms without either sign are left out, as they only
+let the machine learn its sample by heart.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from linkloom.llm.words import slices
 BUCKETS = 1 << 20
 #: Labelled rows learnt from, of each class at most; drawn by a hash of doc_id.
 SAMPLE = 4000
-INPUTS = 512
+#: Inputs at most that tell by themselves, and by pairs.
+INPUTS, PAIR_INPUTS = 1024, 128
+#: Most frequent terms whose pairs are looked at, the rows that must hold a term, and the least square of a pair's z.
+PAIR_TERMS, PAIR_ROWS, PAIR_LEAST = 1024, 20, 40.0
 FACTORS = 8
 ROUNDS = 120
 PREFIXES = (4, 5, 6)
@@ -70,6 +75,39 @@ def choose_inputs(rows: list[np.ndarray], y: np.ndarray, most: int = INPUTS, lea
     return np.sort(names[order[stat[order] >= least]])
 
 
+def choose_pairs(rows: list[np.ndarray], y: np.ndarray, most: int = PAIR_INPUTS, least: float = PAIR_LEAST) -> np.ndarray:
+    """Buckets of the frequent terms whose product with another depends most on the label, sorted."""
+    if not rows or y.min() == y.max():
+        return np.zeros(0, np.int64)
+    names, times = np.unique(np.concatenate(rows), return_counts=True)
+    # A term that nearly all rows hold says as little as one that nearly none does.
+    spread = np.minimum(times, len(rows) - times)
+    order = np.lexsort((names, -spread))[:PAIR_TERMS]
+    names = np.sort(names[order[spread[order] >= PAIR_ROWS]])
+    if len(names) < 2:
+        return np.zeros(0, np.int64)
+    x = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.searchsorted(names, r[np.isin(r, names, assume_unique=True)])] = 1.0
+    x -= x.mean(axis=0)
+    e = (y - y.mean()).astype(np.float32)
+    top = x.T @ (x * e[:, None])
+    together = x.T @ x
+    own = np.sqrt(np.maximum(np.diag(together), 1e-6))
+    together = np.abs(together) / np.outer(own, own)
+    np.multiply(x, x, out=x)
+    low = x.T @ x
+    # Terms that nearly always come together, such as a word and its prefix, are one term.
+    z2 = np.triu(np.where(together > 0.7, 0.0, top**2 / (np.maximum(low, 1e-6) * float((e * e).mean()))), 1)
+    out: list[int] = []
+    for k in np.argsort(-z2, axis=None, kind="stable")[: most * 4]:
+        i, j = divmod(int(k), len(names))
+        if z2[i, j] < least or len(out) >= most:
+            break
+        out += [v for v in (int(names[i]), int(names[j])) if v not in out]
+    return np.sort(np.array(out, dtype=np.int64))
+
+
 def fit(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS, l2: float = 1e-4) -> dict:
     """Weights by Adam on the logistic loss over all rows; the same in every run.
 
@@ -117,12 +155,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     got = sorted(picked.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms binary").collect())
     y = np.array([r["y"] for r in got], dtype=np.float64)
     xs = [np.frombuffer(r["terms"], dtype=np.int32).astype(np.int64) for r in got]
-    inputs = choose_inputs(xs, y) if len(y) else np.zeros(0, np.int64)
+    return learn(xs, y)
+
+
+def learn(rows: list[np.ndarray], y: np.ndarray) -> dict:
+    """A model from the sorted distinct buckets of each row and its label, 0 or 1."""
+    inputs = np.union1d(choose_inputs(rows, y), choose_pairs(rows, y)) if len(y) else np.zeros(0, np.int64)
     if not len(inputs):
         share = (y.sum() + 1) / (len(y) + 2)
         return {"inputs": inputs, "bias": float(np.log(share / (1 - share))), "linear": np.zeros(0), "factors": np.zeros((0, FACTORS))}
-    x = np.zeros((len(xs), len(inputs)), dtype=np.float32)
-    for k, r in enumerate(xs):
+    x = np.zeros((len(rows), len(inputs)), dtype=np.float32)
+    for k, r in enumerate(rows):
         x[k, np.searchsorted(inputs, r[np.isin(r, inputs, assume_unique=True)])] = 1.0
     return {"inputs": inputs} | fit(x, y.astype(np.float32))
 
@@ -158,7 +201,12 @@ SCORED = "doc_id long, score double, predicted int"
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD, column: str = "text") -> DataFrame:
-    """doc_id, score, predicted for each row of docs; only the text is looked at. Null counts as empty."""
+    """doc_id, score, predicted for each row of docs; only the text is looked at.
+
+    Null and empty texts, and those without known terms, get the bias alone;
+    very long texts are scored whole. Repeated rows give equal rows, null ids
+    stay. An empty table gives an empty result; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
