@@ -1,11 +1,12 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Reference points (pivots) are spread over a bounded sample of the vectors. A
-vector is described by its nearest pivots in order. Every set of two of them
-names an inverted list, so that vectors which share two or more pivots meet in
-one at least. Lists are compared in tiles by matrix products in double
-precision; a link counts only in the first list its two ends share, so that
-nothing is counted twice and no pairs are shuffled.
+vector is described by its nearest pivots in order, and stands in the inverted
+lists of these pivots. Members of a list that share two pivots or more are
+verified by matrix products in double precision, tile by tile; a pair counts
+only in the list of the first pivot it shares, so that nothing is counted twice
+and no pairs are shuffled. Where lists would grow long, they are parted by the
+second shared pivot. Vectors of rare lengths form a list for each length.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from linkloom.operators.components import components
 from linkloom.session import Workspace
 
 PREFIX = 7
-LIST = 256
+#: Members that share a tile; lists are made about as long, and longer ones cut.
 TILE = 512
+#: Vectors of one length from which on they get pivots of their own; fewer are compared in tiles directly.
+FEW = 4096
 MOST_PIVOTS = 16_384
 SAMPLE_PER_PIVOT = 4
 
@@ -32,30 +37,47 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def units(vectors: DataFrame) -> DataFrame:
-    """vec_id, key, unit (binary): vectors of length one in double precision.
+    """vec_id, key, raw (binary), width: components as they come, 4 bytes each for array<float>, else 8.
 
-    Null, empty and zero vectors and those with null or non-finite components
-    have null key and unit.
+    key is a digest of the vector of length one in double precision. Null, empty
+    and zero vectors and those with null or non-finite components have null key
+    and raw.
     """
-
-    def one(v) -> tuple[str | None, bytes | None]:
-        if v is None or len(v) == 0 or any(x is None for x in v):
-            return None, None
-        x = np.asarray(v, dtype=np.float64)
-        top = np.abs(x).max()
-        if not np.isfinite(x).all() or top == 0:
-            return None, None
-        x = x / top
-        x = x / np.sqrt((x * x).sum())
-        raw = (x + 0.0).tobytes()
-        return hashlib.blake2b(raw, digest_size=16).hexdigest(), raw
+    kind = vectors.schema["embedding"].dataType.elementType
+    narrow = isinstance(kind, FloatType)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            got = [one(v) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["vec_id", "key", "unit"])
-
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, key string, unit binary")
+            col = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            offs = np.concatenate([[0], np.cumsum(sizes)])
+            flat = pc.list_flatten(col)
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+            # Nulls among the components become NaN.
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+            good = (sizes > 0) & (bad[offs[1:]] == bad[offs[:-1]])
+            keys, raws = [None] * len(sizes), [None] * len(sizes)
+            for k in np.flatnonzero(good).tolist():
+                v = x[offs[k] : offs[k + 1]]
+                if (top := np.abs(v).max()) > 0:
+                    keys[k] = hashlib.blake2b(_unit(v / top).tobytes(), digest_size=16).hexdigest()
+                    raws[k] = (v.astype(np.float32) if narrow else v).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(raws, pa.binary())], ["vec_id", "key", "raw"])
+
+    typed = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), typed.alias("embedding")).mapInArrow(run, "vec_id long, key string, raw binary").withColumn("width", (F.length("raw") / (4 if narrow else 8)).cast("int"))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum()) + 0.0
+
+
+def _matrix(raws: list[bytes], width: int) -> np.ndarray:
+    """Rows of length one in double precision."""
+    data = b"".join(raws)
+    x = np.frombuffer(data, dtype=np.float32 if len(data) == 4 * width * len(raws) else np.float64).reshape(-1, width).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -83,35 +105,47 @@ def prefixes(unit: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _lists(pivots: np.ndarray, prefix: int):
-    """Rows (list, class, copies, pivots, unit) for the inverted lists of each vector."""
+def _lists(pivots: np.ndarray, prefix: int, parts: int):
+    """Rows (list, class_id, copies, near) for the inverted lists of each vector.
+
+    A list belongs to a pivot and a part of the other pivots; the first two
+    pivots that a pair shares name the one list where it counts.
+    """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(batch.num_rows, -1)
+            unit = _matrix(batch.column(2).to_pylist(), pivots.shape[1])
             near = np.sort(prefixes(unit, pivots, prefix), axis=1)
-            keys = np.stack([near[:, a] * len(pivots) + near[:, b] for a, b in combinations(range(near.shape[1]), 2)], 1) if near.shape[1] > 1 else near
-            who = np.repeat(np.arange(len(unit)), keys.shape[1])
-            described = pa.array([r.astype(np.int32).tobytes() for r in near], pa.binary())
+            described = near.astype(np.int32)
+            if near.shape[1] > 1:
+                keys = np.sort(np.stack([near[:, a] * parts + near[:, b] % parts for a, b in combinations(range(near.shape[1]), 2)], 1), axis=1)
+                fresh = np.ones(keys.shape, dtype=bool)
+                fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                who, at = np.nonzero(fresh)
+                keys = keys[who, at]
+            else:
+                keys, who = near.ravel(), np.arange(len(near))
             take = pa.array(who)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(take), batch.column(1).take(take), described.take(take)], ["list", "class_id", "copies", "near"])
+            near_of = pa.array([r.tobytes() for r in described], pa.binary()).take(take)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(take), batch.column(1).take(take), near_of], ["list", "class_id", "copies", "near"])
 
     return run
 
 
-def _first_shared(p: np.ndarray, q: np.ndarray, pivots: int) -> np.ndarray:
-    """The least list that two sorted pivot sets share, row by row."""
+def _first_shared(p: np.ndarray, q: np.ndarray, parts: int) -> np.ndarray:
+    """The list where pairs of sorted pivot sets count, row by row; -1 with fewer than two shared pivots."""
     common = (p[:, :, None] == q[:, None, :]).any(axis=2)
+    count = common.sum(axis=1)
     first = common.argmax(axis=1)
     rows = np.arange(len(p))
     common[rows, first] = False
     second = common.argmax(axis=1)
-    return p[rows, first] * pivots + p[rows, second]
+    return np.where(count > 1, p[rows, first] * parts + p[rows, second] % parts, -1)
 
 
-def _links(least: float, pivots: int):
+def _links(least: float, parts: int):
     """Links of one tile row: blocks `mine` against `theirs`, both lists of structs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,13 +157,13 @@ def _links(least: float, pivots: int):
                 ids = [np.array([s["class_id"] for s in side], dtype=np.int64) for side in (a, b)]
                 copies = [np.array([s["copies"] for s in side], dtype=np.int64) for side in (a, b)]
                 near = [np.frombuffer(b"".join(s["near"] for s in side), dtype=np.int32).reshape(len(side), -1).astype(np.int64) for side in (a, b)]
-                unit = [np.frombuffer(b"".join(s["unit"] for s in side)).reshape(len(side), -1) for side in (a, b)]
+                unit = [_matrix([s["raw"] for s in side], row.width) for side in (a, b)]
                 cos = unit[0] @ unit[1].T
                 if same:
                     cos[np.tril_indices(len(cos))] = -2.0
                 i, j = np.nonzero(cos >= least)
                 if near[0].shape[1] > 1 and len(i):
-                    keep = np.concatenate([_first_shared(near[0][i[k : k + 65536]], near[1][j[k : k + 65536]], pivots) for k in range(0, len(i), 65536)]) == row.list
+                    keep = np.concatenate([_first_shared(near[0][i[k : k + 65536]], near[1][j[k : k + 65536]], parts) for k in range(0, len(i), 65536)]) == row.list
                     i, j = i[keep], j[keep]
                 if len(i):
                     links.append(_summary(ids, copies, i, j))
@@ -161,51 +195,54 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, prefix: int = PREFI
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
     Cosines are taken in double precision and compared with `least`. Vectors
-    that are null, empty, zero or hold null or non-finite components link with
-    nothing. All rows with one vec_id are expected to be equal vectors of
-    different rows: each counts as a link of the others. Vectors of another
-    length than most are in lists of their own length. The number of pivots
+    that are null, empty, zero or hold null or non-finite components, and rows
+    without vec_id, link with nothing (n_links 0, component_id their vec_id,
+    kept). Repeated rows count as links of one another. Vectors of different
+    lengths have no cosine. Ties among pivots go to the earlier one. An empty
+    table gives an empty result; other columns are ignored. The number of pivots
     follows the number of vectors, so that lists stay small; lists of near
     copies are split into tiles, never into one task.
     """
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "embed")
     all_units = ws.cut(units(vectors))
-    classes = all_units.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
+    classes = all_units.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"), F.first("width").alias("width"))
     classes = ws.cut(classes)
-    widths = [r["w"] for r in classes.groupBy(F.length("unit").alias("w")).agg(F.count(F.lit(1))).limit(64).collect()]
-    found: DataFrame | None = None
-    for width in sorted(widths):
-        some = _join(classes.where(F.length("unit") == width), least, prefix, ws)
-        found = some if found is None else found.union(some)
-    if found is None:
-        found = spark.createDataFrame([], "node long, root long, links long")
+    widths = ws.cut(classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")))
+    rare = classes.join(widths.where(F.col("n") <= FEW).select("width"), "width").select(F.col("width").cast("long").alias("list"), "class_id", "copies", F.lit(b"").alias("near"))
+    found = _tiled(rare, classes, least, 1)
+    # A length of more than FEW vectors is worth pivots of its own.
+    for r in widths.where(F.col("n") > FEW).orderBy("width").toLocalIterator():
+        found = found.union(_join(classes.where(F.col("width") == r["width"]), r["n"], least, prefix, ws))
     found = ws.cut(found)
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), ws)
     gains = found.groupBy("node").agg(F.sum("links").alias("links"))
     per = classes.select("key", "class_id", "copies").join(gains, F.col("class_id") == F.col("node"), "left").drop("node")
     per = per.join(comp, F.col("class_id") == F.col("node"), "left").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    out = all_units.select("vec_id", "key").join(per, "key", "left")
+    out = all_units.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(per, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _join(classes: DataFrame, least: float, prefix: int, ws: Workspace) -> DataFrame:
-    """node, root, links of classes of one length; see `_summary`."""
-    n = classes.count()
-    pairs = prefix * (prefix - 1) // 2
-    count = int(min(MOST_PIVOTS, max(16, np.ceil(np.sqrt(2 * n * pairs / LIST)))))
-    sample = classes.select("unit", "key").orderBy("key").limit(SAMPLE_PER_PIVOT * count).collect()
-    points = np.array([np.frombuffer(r["unit"]) for r in sample])
-    pivots = choose_pivots(points, count)
-    narrow = ws.cut(classes.select("class_id", "copies", "unit").mapInArrow(_lists(pivots, prefix), "list long, class_id long, copies long, near binary"))
+def _join(classes: DataFrame, n: int, least: float, prefix: int, ws: Workspace) -> DataFrame:
+    """node, root, links of n classes of one length; see `_summary`."""
+    count = int(min(MOST_PIVOTS, max(16, n * prefix // TILE)))
+    parts = max(1, n * prefix // (count * TILE))
+    sample = classes.select("raw", "key", "width").orderBy("key").limit(SAMPLE_PER_PIVOT * count).collect()
+    pivots = choose_pivots(_matrix([r["raw"] for r in sample], sample[0]["width"]), count)
+    narrow = ws.cut(classes.select("class_id", "copies", "raw").mapInArrow(_lists(pivots, prefix, parts), "list long, class_id long, copies long, near binary"))
+    return _tiled(narrow, classes, least, parts)
+
+
+def _tiled(narrow: DataFrame, classes: DataFrame, least: float, parts: int) -> DataFrame:
+    """node, root, links of the members of lists; every list is cut into tiles, which meet in pairs."""
     sizes = narrow.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("class_id", "list"), F.col("tiles")).cast("int")
-    dealt = narrow.join(sizes, "list").withColumn("own", own).join(classes.select("class_id", "unit"), "class_id")
+    dealt = narrow.join(sizes, "list").withColumn("own", own).join(classes.select("class_id", "raw", "width"), "class_id")
     # Every member goes to the tiles of its row and of its column.
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y"))))
-    item = F.struct("class_id", "copies", "near", "unit")
-    spread = dealt.select("list", "own", item.alias("item"), tile.alias("t")).select("list", "own", "item", "t.x", "t.y")
-    tiles = spread.groupBy("list", "x", "y").agg(F.collect_list(F.when(F.col("own") == F.col("x"), F.col("item"))).alias("mine"), F.collect_list(F.when(F.col("own") == F.col("y"), F.col("item"))).alias("theirs"))
-    tiles = tiles.where("size(mine) > 0 and size(theirs) > 0").select("list", "x", "y", "mine", F.when(F.col("x") == F.col("y"), F.array().cast(tiles.schema["theirs"].dataType)).otherwise(F.col("theirs")).alias("theirs"))
-    return tiles.mapInPandas(_links(least, len(pivots)), "node long, root long, links long").groupBy("node", "root").agg(F.sum("links").alias("links"))
+    item = F.struct("class_id", "copies", "near", "raw")
+    spread = dealt.select("list", "width", "own", item.alias("item"), tile.alias("t")).select("list", "width", "own", "item", "t.x", "t.y")
+    tiles = spread.groupBy("list", "width", "x", "y").agg(F.collect_list(F.when(F.col("own") == F.col("x"), F.col("item"))).alias("mine"), F.collect_list(F.when((F.col("own") == F.col("y")) & (F.col("x") != F.col("y")), F.col("item"))).alias("theirs"))
+    tiles = tiles.where("size(mine) > 0 and (size(theirs) > 0 or x = y)")
+    return tiles.select("list", "width", "x", "y", "mine", "theirs").mapInPandas(_links(least, parts), "node long, root long, links long").groupBy("node", "root").agg(F.sum("links").alias("links"))

@@ -62,6 +62,37 @@ def test_embeddings_against_brute_force(spark):
     assert rows(embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>"))) == []
 
 
+def test_embeddings_of_many_lengths_null_ids_and_repeats(spark):
+    rng = np.random.default_rng(8)
+    data = []
+    for n in range(2, 82):
+        v = rng.normal(size=n)
+        data += [(2 * n, v.tolist(), "x"), (2 * n + 1, (v * 3 + 1e-4).tolist(), "x")]
+    data += [(None, data[0][1], "x"), (4, data[0][1], "y"), (4, data[0][1], "y")]
+    got = rows(embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, raw string")))
+    assert len(got) == len(data)
+    for vec_id, n_links, component, kept in got:
+        if vec_id is None:
+            assert (n_links, component, kept) == (0, None, True)
+        else:
+            assert n_links == (3 if vec_id in (4, 5) else 1) and component == vec_id // 2 * 2 and kept == (vec_id % 2 == 0)
+
+
+def test_embeddings_recall_with_pivots(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3000, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    v = np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * other]).astype(np.float32)
+    got = embeddings.near_duplicates(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")).toPandas().sort_values("vec_id")
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.95).sum(1) - 1
+    assert (got["n_links"].values <= want).all() and got["n_links"].sum() >= 0.99 * want.sum() and want.sum() >= 6000
+
+
 def test_media(docs, none):
     got = {r.doc_id: r for r in media.features(media.encode(docs)).collect()}
     for doc_id, text, *_ in ROWS:
