@@ -12,7 +12,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from linkloom.llm.words import slices
 
 CACHE = 150_000
+AT_ONCE = 8192
 #: Characters that _LATIN tells apart, after normalising.
 _COMMON = re.compile(r"[\x00-\u02af\u2010-\u2027\u20ac]*")
 _STOP = "\n"
@@ -147,7 +149,7 @@ class Tokenizer:
         """
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         letters = (b"\xff".join(raw) + b"\xff").decode("latin-1").translate(self._table)
-        flat = np.array(list(self.longest.iter_long(letters)), dtype=np.int64).reshape(-1, 2)
+        flat = np.fromiter(chain.from_iterable(self.longest.iter_long(letters)), np.int64).reshape(-1, 2)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         owner = np.searchsorted(np.cumsum(sizes), flat[:, 0], "right")
         taken = np.bincount(owner, weights=self.sizes[flat[:, 1]], minlength=len(raw)).astype(np.int64)
@@ -238,8 +240,14 @@ class Tokenizer:
             self.pairs.clear()
         fresh = list(new - self.ids_of.keys())
         plain = [w for w in fresh if w not in self.special]
-        tokens = dict(zip(plain, self.encode_words(plain), strict=True)) | {w: [self.special[w]] for w in fresh if w in self.special}
-        for w, ids in tokens.items():
+        # Some thousand words at once fill the arrays well; more only take memory.
+        for k in range(0, len(plain), AT_ONCE):
+            part = plain[k : k + AT_ONCE]
+            self._keep(zip(part, self.encode_words(part), strict=True))
+        self._keep((w, [self.special[w]]) for w in fresh if w in self.special)
+
+    def _keep(self, tokens: Iterable[tuple[str, list[int]]]) -> None:
+        for w, ids in tokens:
             self.ids_of[w] = " ".join(map(str, ids))
             self.text_of[w] = self.decode(ids)
 

@@ -26,7 +26,7 @@ SAMPLE = 400
 #: Languages learnt at most, those of most labelled rows: with SAMPLE, the bound of the rows learnt from.
 MOST_LANGUAGES = 1000
 ROUNDS = 2
-CACHE = 300_000
+CACHE = 100_000
 LONGEST_PIECE = 10
 #: Steps of the forward sums after which they are scaled: 1e-7 a letter stays far above the least double.
 SCALE_EVERY = 12
@@ -118,7 +118,7 @@ class Pieces:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == n)
-            step = max(1, (1 << 17) // (n + 1))
+            step = max(1, (1 << 15) // (n + 1))
             for at in range(0, len(own), step):
                 some = own[at : at + step]
                 text = "".join(["▁" + words[k] for k in some.tolist()])

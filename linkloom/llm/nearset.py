@@ -421,7 +421,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     classes = sigs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = ws.cut(classes)
     reps = classes.select(F.col("rep").alias("doc_id"), "sig", "n")
-    links = near_links(reps, docs, words, percent, ws, trees)
+    # Written first: the next step would hold a second Python worker for each task.
+    links = ws.cut(near_links(reps, docs, words, percent, ws, trees))
     comp = components(links, ws)
     labelled = classes.join(comp, classes["rep"] == comp["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.join(labelled, "key", "left")
