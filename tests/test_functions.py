@@ -37,11 +37,16 @@ def test_ground_anchor():
 def test_replace_and_unwrap():
     page = "<h2>Car loans</h2><p>Compare car loans today.</p>"
     out = H.replace_anchor(page, "Compare car loans today.", "car loans", "/x")
-    assert out == '<h2>Car loans</h2><p>Compare <a href="/x" data-aiil="1"><strong>car loans</strong></a> today.</p>'
+    assert out == '<h2>Car loans</h2><p>Compare <a href="/x" data-inserted="1"><strong>car loans</strong></a> today.</p>'
     assert H.unwrap_link(out, "/x") == page
     far = H.replace_anchor('<p>See <a href="/y">rates</a> car loans now and later compare car loans again.</p>', None, "car loans", "/x")
     assert "later compare <a" in far
     assert H.replace_anchor("<h2>Car loans</h2>", None, "car loans", "/x") is None
+    later = '<p>Car loans now, <a href="/y">see</a></p><p>Car loans now, they say.</p>'
+    assert H.replace_anchor(later, "car loans now,", "Car loans", "/x").endswith("<p><a href=\"/x\" data-inserted=\"1\"><strong>Car loans</strong></a> now, they say.</p>")
+    assert H.replace_anchor('<p>x <img alt="car loans"> car loans</p>', None, "car loans", "/a?b&c", bold=False, mark="rel=own") == '<p>x <img alt="car loans"> <a href="/a?b&amp;c" rel=own>car loans</a></p>'
+    assert H.unwrap_link('<a href="/x">Car  loans</a> <a href="/x" data-inserted="1">b</a>', "/x", "car loans") == '<a href="/x">Car  loans</a> b'
+    assert H.unwrap_link('<a href="/x">Car  loans</a>', "/x", "car loans") == "Car  loans" and H.unwrap_link('<a href="/x">c</a>', "/x") is None
 
 
 @pytest.mark.parametrize("text, sizes", [("x" * 24, []), ("x" * 25, [25]), ("x" * 500, [500]), ("x" * 600, [600]), (" ".join(["y" * 199 + "."] * 5), [401, 401, 200])])
