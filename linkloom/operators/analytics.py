@@ -67,12 +67,16 @@ def eval_pairs(pairs: DataFrame, posts: DataFrame, opps: DataFrame) -> DataFrame
     """kind, a_fragment, b_fragment, status: the best status of either direction of each pair.
 
     Fragments resolve to the first published post whose title contains them.
-    The list of pairs is made by hand, and small; posts are read once.
+    Titles and fragments meet by three letters: the fragment's first ones, at
+    each place of the title. Empty fragments resolve to nothing.
     """
-    frags = pairs.select(F.col("a_fragment").alias("f")).union(pairs.select("b_fragment")).distinct()
-    live = posts.where("status = 'publish'")
-    hit = live.join(F.broadcast(frags), F.contains(F.lower("title"), F.lower("f"))).groupBy("f").agg(F.min("post_id").alias("p"))
-    both = pairs.join(hit.select(F.col("f").alias("a_fragment"), F.col("p").alias("pa")), "a_fragment", "left").join(hit.select(F.col("f").alias("b_fragment"), F.col("p").alias("pb")), "b_fragment", "left")
+    frags = pairs.select(F.lower("a_fragment").alias("f")).union(pairs.select(F.lower("b_fragment"))).distinct().where("f <> ''").withColumn("g", F.substring("f", 1, 3))
+    live = posts.where("status = 'publish'").select("post_id", F.lower("title").alias("title"))
+    # A fragment shorter than three letters is met by the places' own shorter beginnings.
+    places = F.sequence(F.lit(1), F.greatest(F.length("title"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda k: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("title"), k, n)))))
+    hit = live.select("post_id", "title", F.explode(grams).alias("g")).join(frags, "g").where(F.contains("title", "f")).groupBy("f").agg(F.min("post_id").alias("p"))
+    both = pairs.join(hit.select(F.col("f").alias("_fa"), F.col("p").alias("pa")), F.lower("a_fragment") == F.col("_fa"), "left").join(hit.select(F.col("f").alias("_fb"), F.col("p").alias("pb")), F.lower("b_fragment") == F.col("_fb"), "left")
     rank = F.create_map(*[F.lit(x) for kv in EVAL_RANK.items() for x in kv])
     ranked = opps.select(F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"), "id", "status", F.coalesce(rank[F.col("status")], F.lit(0)).alias("rk")).groupBy("lo", "hi").agg(F.max_by("status", F.struct("rk", "id")).alias("best"))
     joined = both.join(ranked, (F.least("pa", "pb") == F.col("lo")) & (F.greatest("pa", "pb") == F.col("hi")), "left")
@@ -115,5 +119,22 @@ def export_opportunities(opps: DataFrame, posts: DataFrame, most: int = EXPORT_R
     return one.join(titles, F.col("t") == F.col("_p"), "left").withColumnRenamed("_x", "target_title").drop("_p")
 
 
+def export_queue(queue: DataFrame, most: int = EXPORT_ROWS) -> DataFrame:
+    return queue.orderBy(F.desc("id")).limit(most)
+
+
+def export_site_links(site_links: DataFrame, posts: DataFrame, most: int = EXPORT_ROWS) -> DataFrame:
+    """Scanned links (s, t, anchor) with the titles of both ends, by source and target."""
+    from linkloom.operators.worklists import with_titles
+
+    return with_titles(site_links.orderBy("s", "t").limit(most), posts)
+
+
+def export_orphans(index: DataFrame, posts: DataFrame, most: int = EXPORT_ROWS) -> DataFrame:
+    """Index rows without a counted incoming link, by post; the scan isn't asked."""
+    rows = index.where("incoming_links = 0").orderBy("post_id").limit(most)
+    return rows.join(posts.select("post_id", "title"), "post_id", "left").select("post_id", "passage_count", "outgoing_links", "title")
+
+
 def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -49,6 +49,17 @@ def reapply_thresholds(opps: DataFrame, verdicts: DataFrame, s: Settings) -> Dat
     return joined.withColumns({"status": status, "confidence": F.when(F.col("_ok"), F.col("pair_score").cast(opps.schema["confidence"].dataType)).otherwise(F.col("confidence"))}).select(*opps.columns)
 
 
+def reapply_and_resolve(opps: DataFrame, verdicts: DataFrame, outgoing: DataFrame, s: Settings, protect_decided: bool = False) -> DataFrame:
+    """`reapply_thresholds`, then reciprocal pairs and caps among the verified; decided rows are left alone if protected."""
+    rows = reapply_thresholds(opps, verdicts, s)
+    if protect_decided:
+        old = opps.select("id", F.col("status").alias("_s"), F.col("confidence").alias("_c"))
+        keep = F.col("_s").isin("inserted", "rejected", "reciprocal")
+        rows = rows.join(old, "id").withColumns({"status": F.when(keep, F.col("_s")).otherwise(F.col("status")), "confidence": F.when(keep, F.col("_c")).otherwise(F.col("confidence"))}).select(*opps.columns)
+    rows = resolve_reciprocal(rows, "verified") if s.avoid_reciprocal else rows
+    return enforce_caps(rows, outgoing, s, "verified")
+
+
 def verify_component(pdf: pd.DataFrame, slots: int, budget: int) -> pd.DataFrame:
     """The sequential greedy pass over rows that can influence one another.
 
@@ -151,7 +162,8 @@ def reevaluate(opps: DataFrame) -> DataFrame:
 
 
 def reject(opps: DataFrame, ids: DataFrame) -> DataFrame:
-    marked = opps.join(F.broadcast(ids.select("id").distinct().withColumn("_r", F.lit(True))), "id", "left")
+    """Any row (id) is rejected where a user says so."""
+    marked = opps.join(ids.select("id").distinct().withColumn("_r", F.lit(True)), "id", "left")
     return marked.withColumn("status", F.when(F.col("_r"), "rejected").otherwise(F.col("status"))).select(*opps.columns)
 
 
@@ -163,8 +175,11 @@ def drop_undecided(opps: DataFrame) -> DataFrame:
 def on_trash(opps: DataFrame, ids: DataFrame) -> DataFrame:
     """Open rows that touch trashed posts (id) go; decided ones stay."""
     open_ = F.col("status").isin("pending", "ready", "inserting")
-    gone = opps.where(open_).join(ids.select(F.col("id").alias("_p")), (F.col("s") == F.col("_p")) | (F.col("t") == F.col("_p")), "left_semi").select("id")
-    return opps.join(gone, "id", "left_anti")
+    hit = ids.select(F.col("id").alias("_p"), F.lit(True).alias("_hit")).distinct()
+    met = opps
+    for k, end in enumerate(("s", "t")):
+        met = met.join(hit.toDF(f"_p{k}", f"_hit{k}"), F.col(end) == F.col(f"_p{k}"), "left")
+    return met.where(~(open_ & (F.coalesce("_hit0", F.lit(False)) | F.coalesce("_hit1", F.lit(False))))).select(*opps.columns)
 
 
 def on_delete(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY s, status = 'ready' ORDER BY con
 QUEUE = """q AS (SELECT event_id AS id, user_id AS post_id, event_type AS job_type, ['pending', 'processing', 'done', 'failed'][event_id % 4 + 1] AS status, (floor(value)::BIGINT % 4)::INTEGER AS attempts, ts AS created_at FROM events)"""
 _BUCKET = " ".join(f"WHEN '{s}' THEN '{b}'" for s, (b, _) in STATUSES.items())
 _RANK = " ".join(f"WHEN '{s}' THEN {r}" for s, r in EVAL_RANK.items())
-EVAL = f"""{OPPS}, {POSTS}, pairs AS (SELECT CASE WHEN item_id % 4 = 3 THEN 'negative' ELSE 'positive' END AS kind, lower(split_part(text, ' ', 1)) AS a_fragment, lower(split_part(text, ' ', 2)) AS b_fragment FROM benchmark WHERE item_id < 20),
+EVAL = f"""{OPPS}, {POSTS}, pairs AS (SELECT CASE WHEN item_id % 4 = 3 THEN 'negative' ELSE 'positive' END AS kind, lower(split_part(text, ' ', 1)) AS a_fragment, lower(split_part(text, ' ', 2)) AS b_fragment FROM benchmark),
 frags AS (SELECT a_fragment AS f FROM pairs UNION SELECT b_fragment FROM pairs),
 hit AS (SELECT f, min(post_id) AS p FROM frags JOIN posts ON contains(lower(title), f) WHERE status = 'publish' GROUP BY f),
 best AS (SELECT least(s, t) AS lo, greatest(s, t) AS hi, max_by(status, (CASE status {_RANK} ELSE 0 END) * 1000000000000 + id) AS best FROM opps GROUP BY 1, 2),
@@ -150,7 +150,7 @@ def queries() -> dict[str, str]:
         "queue_counts": f"{w}{QUEUE} SELECT job_type, status, count(*) AS n FROM q GROUP BY ALL",
         "queue_dedupe": f"{w}{QUEUE} SELECT id, post_id, job_type, status FROM (SELECT *, row_number() OVER (PARTITION BY job_type, post_id ORDER BY id) AS r FROM q WHERE status IN ('pending', 'processing')) WHERE r = 1",
         "queue_stale": f"{w}{QUEUE}, z AS (SELECT *, status = 'processing' AND created_at < {AS_OF} - INTERVAL 5 MINUTES AS stale FROM q) SELECT CASE WHEN stale AND attempts >= 3 THEN 'failed' WHEN stale THEN 'pending' ELSE status END AS status, count(*) AS n FROM z GROUP BY 1",
-        "queue_batch": f"{w}{QUEUE} SELECT id, job_type, r::INTEGER AS r FROM (SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY id) AS r FROM q WHERE status = 'pending') WHERE r <= 20",
+        "queue_batch": f"{w}{QUEUE} SELECT id, job_type, 'processing' AS status, (attempts + 1)::INTEGER AS attempts FROM q WHERE status = 'pending' ORDER BY id LIMIT 20",
         "retention_purge": f"{w}{QUEUE} SELECT job_type, count(*) AS n FROM q WHERE NOT (status = 'done' AND created_at < {AS_OF} - INTERVAL 7 DAYS) GROUP BY job_type",
     }
     return out

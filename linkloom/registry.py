@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.functions import html as H, text as T, vectors as V
-from linkloom.operators import analytics, graph, linkscan, matching, placement, resolve
+from linkloom.operators import analytics, graph, jobs, linkscan, matching, placement, resolve
 from linkloom.settings import Settings
 from linkloom.sources import adapters
 from linkloom.sources.adapters import table
@@ -31,8 +31,19 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return adapters.posts_from_pages(table(spark, d, "pages"))
 
 
+_shared: dict[tuple[str, str], DataFrame] = {}
+
+
 def _opps(spark: SparkSession, d: str) -> DataFrame:
-    """Matches in both directions with states and confidences derived from their ids."""
+    """Matches in both directions with states and confidences derived from their ids; kept, as most queries begin with them."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _shared:
+        # What a lost executor held is computed again.
+        _shared[key] = _matched(spark, d).persist()
+    return _shared[key]
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
     pairs = matching.both_directions(matching.match_outgoing(_vectors(spark, d), S), S)
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.pmod(F.col("s") * 31 + F.col("t") * 17, F.lit(8)) + 1).cast("int"))
     conf = (20 + F.pmod(F.col("s") * 7 + F.col("t") * 13, F.lit(77))).cast("int")
@@ -360,7 +371,7 @@ def export_links(spark, d):
 
 def _eval(spark, d):
     k = F.col("item_id")
-    pairs = table(spark, d, "benchmark").where("item_id < 20")
+    pairs = table(spark, d, "benchmark")
     word = lambda n: F.lower(F.element_at(F.split("text", " "), n))
     rows = pairs.select(F.when(k % 4 == 3, "negative").otherwise("positive").alias("kind"), word(1).alias("a_fragment"), word(2).alias("b_fragment"))
     return analytics.eval_pairs(rows, _posts(spark, d), _opps(spark, d))
@@ -391,9 +402,8 @@ def queue_stale(spark, d):
 
 
 def queue_batch(spark, d):
-    """The next jobs of each type in order of arrival."""
-    w = Window.partitionBy("job_type").orderBy("id")
-    return _queue(spark, d).where("status = 'pending'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= S.batch_size).select("id", "job_type", "r")
+    """The next jobs in order of arrival, as claimed."""
+    return jobs.claim(_queue(spark, d), S.batch_size).select("id", "job_type", "status", "attempts")
 
 
 def retention_purge(spark, d):
@@ -412,7 +422,9 @@ def stream_ingest(spark, d):
     rows.write.parquet(f"{ws.base}/in")
     q = ingest.start(spark, f"{ws.base}/in", "post_id long, op string, title string, content string, changed_at timestamp", f"{ws.base}/index", f"{ws.base}/state")
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
+    last = max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=None)
+    if last is None:
+        return spark.createDataFrame([], "post_id long, content_hash string, passage_count int")
     return spark.read.schema(ingest.INDEX).parquet(f"{ws.base}/index/v{last}").select("post_id", "content_hash", "passage_count")
 
 
@@ -425,10 +437,14 @@ stream_ingest""".split()
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES}
+    from linkloom import catalog
+
+    return {n: globals()[n] for n in _NAMES} | catalog.queries()
 
 
 def oracle_sql() -> dict:
     from linkloom import oracle
 
-    return oracle.queries()
+    from linkloom import catalog_sql
+
+    return oracle.queries() | catalog_sql.queries()
