@@ -26,7 +26,7 @@ SAMPLE = 400
 #: Languages learnt at most, those of most labelled rows: with SAMPLE, the bound of the rows learnt from.
 MOST_LANGUAGES = 1000
 ROUNDS = 2
-CACHE = 100_000
+CACHE = 150_000
 LONGEST_PIECE = 10
 #: Steps of the forward sums after which they are scaled: 1e-7 a letter stays far above the least double.
 SCALE_EVERY = 12
@@ -252,14 +252,17 @@ class Scorer:
         The posterior is over all languages with equal priors; ties go to the
         first language by code point. Texts without letters give ('und', 0).
         """
-        if len(self.index) > CACHE:
-            self.index, self.matrix = {}, np.zeros((0, len(self.langs)))
         split = [words_of(t) if t else [] for t in texts]
         if not self.langs:
             return [(UNKNOWN, 0.0) for _ in texts]
         new: set[str] = set()
         for words in split:
             new.update(words)
+        if len(self.index) > CACHE:
+            # Words in use stay.
+            kept = list(new & self.index.keys())
+            self.matrix = self.matrix[[self.index[w] for w in kept]] if kept else self.matrix[:0]
+            self.index = dict(zip(kept, range(len(kept)), strict=True))
         fresh = list(new - self.index.keys())
         if fresh:
             got = self.pieces.scores(fresh)

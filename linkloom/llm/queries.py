@@ -106,20 +106,34 @@ FROM reach GROUP BY id
 OP6 = rf"""
 WITH w AS (
   SELECT doc_id, {_WORDS} AS words FROM documents
-), u AS (
-  SELECT doc_id, unnest(words) AS y, generate_subscripts(words, 1) AS k, words FROM w
 ), g AS (
-  SELECT doc_id, k, CASE WHEN k > 1 THEN words[k - 1] END AS x, y FROM u
+  SELECT doc_id, k, words[k] AS z, CASE WHEN k > 1 THEN words[k - 1] END AS y, CASE WHEN k > 2 THEN words[k - 2] END AS x
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS k FROM w)
 ), uni AS (
-  SELECT y, count(*) AS c FROM g GROUP BY y
+  SELECT z, count(*) AS c FROM g GROUP BY z
+), uni_own AS (
+  SELECT doc_id, z, count(*) AS c FROM g GROUP BY doc_id, z
 ), bi AS (
-  SELECT x, y, count(*) AS c FROM g WHERE x IS NOT NULL GROUP BY x, y
+  SELECT y, z, count(*) AS c FROM g WHERE y IS NOT NULL GROUP BY y, z
+), bi_own AS (
+  SELECT doc_id, y, z, count(*) AS c FROM g WHERE y IS NOT NULL GROUP BY doc_id, y, z
+), tri AS (
+  SELECT x, y, z, count(*) AS c FROM g WHERE x IS NOT NULL GROUP BY x, y, z
+), tri_own AS (
+  SELECT doc_id, x, y, z, count(*) AS c FROM g WHERE x IS NOT NULL GROUP BY doc_id, x, y, z
 ), n AS (
   SELECT count(*) AS n FROM g
+), counted AS (
+  SELECT g.doc_id, g.k, uz.c AS c1, n.n, coalesce(t.c - tw.c, 0) AS c3, coalesce(b.c - bw.c, 0) AS c2, pb.c - pbw.c AS ctx2, py.c - pyw.c AS ctx1
+  FROM g CROSS JOIN n JOIN uni uz ON g.z = uz.z
+  LEFT JOIN bi b ON g.y = b.y AND g.z = b.z LEFT JOIN bi_own bw ON g.doc_id = bw.doc_id AND g.y = bw.y AND g.z = bw.z
+  LEFT JOIN tri t ON g.x = t.x AND g.y = t.y AND g.z = t.z LEFT JOIN tri_own tw ON g.doc_id = tw.doc_id AND g.x = tw.x AND g.y = tw.y AND g.z = tw.z
+  LEFT JOIN bi pb ON g.x = pb.y AND g.y = pb.z LEFT JOIN bi_own pbw ON g.doc_id = pbw.doc_id AND g.x = pbw.y AND g.y = pbw.z
+  LEFT JOIN uni py ON g.y = py.z LEFT JOIN uni_own pyw ON g.doc_id = pyw.doc_id AND g.y = pyw.z
 ), s AS (
-  SELECT g.doc_id, CASE WHEN g.x IS NULL THEN ln(uy.c) - ln(n.n) WHEN bi.c >= 2 THEN ln(bi.c) - ln(ux.c) ELSE ln(0.4) + ln(uy.c) - ln(n.n) END AS p,
-    CASE WHEN g.x IS NOT NULL AND bi.c < 2 THEN 1 ELSE 0 END AS fell
-  FROM g JOIN uni uy ON g.y = uy.y CROSS JOIN n LEFT JOIN uni ux ON g.x = ux.y LEFT JOIN bi ON g.x = bi.x AND g.y = bi.y
+  SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3) - ln(ctx2) WHEN c2 > 0 THEN ln(c2) - ln(ctx1) + CASE WHEN k > 2 THEN ln(0.4) ELSE 0 END
+      ELSE ln(c1) - ln(n) + CASE WHEN k > 2 THEN 2 * ln(0.4) WHEN k > 1 THEN ln(0.4) ELSE 0 END END AS p,
+    CASE WHEN (k > 2 AND c3 = 0) OR (k = 2 AND c2 = 0) THEN 1 ELSE 0 END AS fell FROM counted
 )
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(sum(s.fell), 0)::BIGINT AS n_backoff, round(coalesce(sum(s.p), 0), 4) AS logprob, round(sum(s.p) / len(w.words), 6) AS score
 FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id, w.words

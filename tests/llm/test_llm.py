@@ -231,16 +231,25 @@ def test_lm_against_brute_force(docs, none):
     from collections import Counter
     from math import log
 
-    got = {r.doc_id: r for r in lm.score(docs).collect()}
     texts = [(d, (t or "").lower().split()) for d, t, *_ in ROWS]
-    uni, bi = Counter(), Counter()
-    for _, w in texts:
-        uni.update(w)
-        bi.update(zip(w, w[1:], strict=False))
-    n = sum(uni.values())
-    for d, w in texts:
-        want = (log(uni[w[0]] / n) if w else 0) + sum(log(bi[a, b] / uni[a]) if bi[a, b] >= 2 else log(0.4 * uni[b] / n) for a, b in zip(w, w[1:], strict=False))
-        assert abs(got[d].logprob - want) < 1e-6
+    grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    for order in (1, 2, 3, 4):
+        got = [(r.doc_id, r.n_words, r.n_backoff, r.logprob) for r in lm.score(docs, order=order, chunk_docs=3).collect()]
+        whole = {k: sum((grams(w, k) for _, w in texts), Counter()) for k in range(1, order + 1)}
+        n, want = sum(whole[1].values()), []
+        for d, w in texts:
+            own = {k: grams(w, k) for k in whole}
+            p, fell = 0.0, 0
+            for i in range(len(w)):
+                most = min(order, i + 1)
+                k = next((k for k in range(most, 1, -1) if whole[k][tuple(w[i - k + 1 : i + 1])] > own[k][tuple(w[i - k + 1 : i + 1])]), 1)
+                g, c = tuple(w[i - k + 1 : i + 1]), tuple(w[i - k + 1 : i])
+                p += (most - k) * log(0.4) + (log((whole[k][g] - own[k][g]) / (whole[k - 1][c] - own[k - 1][c])) if k > 1 else log(whole[1][g] / n))
+                fell += k < most
+            want.append((d, len(w), fell, p))
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+            assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6
     assert rows(lm.score(none)) == []
 
 
