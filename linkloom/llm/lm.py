@@ -158,7 +158,7 @@ def _scores(n_total: int, alpha: float, order: int):
             steps[hit] = 0
             seen = count
         n_words = np.diff(g.offs)
-        sums = np.bincount(g.doc, weights=score, minlength=len(n_words))
+        sums = np.bincount(g.doc, weights=score, minlength=len(n_words)).astype(np.float64)
         fell = np.bincount(g.doc, weights=steps > 0, minlength=len(n_words)).astype(np.int64)
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words), "n_backoff": pa.array(fell), "logprob": pa.array(sums)})
 
