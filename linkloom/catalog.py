@@ -327,7 +327,7 @@ def _prepared(spark, d):
     vectors, documents = I.document_vectors(posts, passages)
     vectors, documents = ws.cut(vectors), ws.cut(documents)
     mean = ws.cut(V.mean_vector(documents, [], "vector"))
-    df, n = T.document_frequency(passages)
+    df, n = T.document_frequency(passages, ws)
     n = ws.cut(n)
     return ws, posts, passages, vectors, documents, mean, ws.cut(placement.candidates(posts, ws.cut(df), n)), n
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 MOST_PASSAGES = 60
 LEAST_CHARS = 25
@@ -18,27 +22,43 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def pack_sentences(paragraph: Column) -> Column:
-    """Sentences of a paragraph packed into parts of PASSAGE_CHARS; a longer sentence stays whole."""
-    sentences = F.split(paragraph, r"(?U)(?<=[.!?])\s+")
-    none = F.array().cast("array<string>")
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS, _RUN, _BREAK, _SENTENCE = re.compile(r"[ \t]+"), re.compile(f"{_SPACE}+"), re.compile(f"\n{_SPACE}*\n"), re.compile(f"(?<=[.!?]){_SPACE}+")
+
+
+def pack(lengths: list[int], most: int) -> list[int]:
+    """Where parts begin if sentences of these lengths are packed in order, each with a blank before it."""
+    starts, filled = [0], 0
+    for k, n in enumerate(lengths):
+        if filled and filled + n > most:
+            starts.append(k)
+            filled = 0
+        filled += n + 1
+    return starts
 
-    def add(acc: Column, s: Column) -> Column:
-        full = (F.length(acc["buf"]) + F.length(s) > PASSAGE_CHARS) & (acc["buf"] != "")
-        return F.struct(
-            F.when(full & (F.size(acc["parts"]) < MOST_PASSAGES), F.concat(acc["parts"], F.array(F.trim(acc["buf"])))).otherwise(acc["parts"]).alias("parts"),
-            F.concat(F.when(full, F.lit("")).otherwise(acc["buf"]), F.lit(" "), s).alias("buf"),
-        )
 
-    return F.aggregate(sentences, F.struct(none.alias("parts"), F.lit("").alias("buf")), add, lambda acc: F.concat(acc["parts"], F.array(F.trim(acc["buf"]))))
+def split_plain(text: str | None) -> list[str]:
+    """Passages of text without markup: blank lines part paragraphs, short ones go, long ones are packed by sentences."""
+    out: list[str] = []
+    for raw in _BREAK.split(_BLANKS.sub(" ", text or "").strip(" ")):
+        para = _RUN.sub(" ", raw).strip(" ")
+        if LEAST_CHARS <= len(para) <= PASSAGE_CHARS:
+            out.append(para)
+        elif len(para) > PASSAGE_CHARS:
+            sentences = _SENTENCE.split(para)
+            starts = pack([len(x) for x in sentences], PASSAGE_CHARS)
+            out += [" ".join(sentences[a:b]).strip(" ") for a, b in zip(starts, [*starts[1:], len(sentences)], strict=True)]
+        if len(out) > MOST_PASSAGES:
+            break
+    return [p for p in out if p][:MOST_PASSAGES]
 
 
-def passages(plain: Column) -> Column:
-    """Passages of text without markup: blank lines part paragraphs, short ones go, long ones are packed."""
-    clean = F.trim(F.regexp_replace(plain, r"[ \t]+", " "))
-    paragraphs = F.filter(F.transform(F.split(clean, r"\n(?U)\s*\n"), collapsed), lambda p: F.length(p) >= LEAST_CHARS)
-    parts = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= PASSAGE_CHARS, F.array(p)).otherwise(pack_sentences(p))))
-    return F.slice(F.filter(parts, lambda p: p != ""), 1, MOST_PASSAGES)
+def _split(texts: pd.Series) -> pd.Series:
+    return texts.map(split_plain)
+
+
+#: Passages of a text column, in Arrow batches: packing sentences one by one is no work for array lambdas.
+passages = F.pandas_udf(_split, ArrayType(StringType()))
 
 
 def idf_tokens(text: Column) -> Column:
@@ -93,10 +113,24 @@ def floor(n: Column) -> Column:
     return F.log((n + 1) / (n * RARE_SHARE + 1)) + 1
 
 
-def document_frequency(passages_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, df) over posts, and one row n: posts that have a passage."""
-    tokens = passages_df.select("post_id", F.explode(F.array_distinct(idf_tokens(F.col("text")))).alias("token")).distinct()
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), passages_df.agg(F.countDistinct("post_id").alias("n"))
+def document_frequency(passages_df: DataFrame, ws) -> tuple[DataFrame, DataFrame]:
+    """(token, df) over posts, and one row n: posts that have a passage. One pass: n is the count of a token that every post has.
+
+    A post's passages are joined first, so that tokens needn't be made distinct by a shuffle.
+    """
+    posts = passages_df.groupBy("post_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    return _frequency(posts, ws)
+
+
+def document_frequency_of(texts: DataFrame, ws) -> tuple[DataFrame, DataFrame]:
+    """The same from rows (post_id, passages), an array, one for each post: nothing is grouped by post."""
+    return _frequency(texts.where("size(passages) > 0").select("post_id", F.array_join("passages", " ").alias("text")), ws)
+
+
+def _frequency(posts: DataFrame, ws) -> tuple[DataFrame, DataFrame]:
+    tokens = posts.select(F.explode(F.array_union(F.array(F.lit("")), idf_tokens(F.col("text")))).alias("token"))
+    counted = ws.cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    return counted.where("token <> ''"), counted.agg(F.coalesce(F.max(F.when(F.col("token") == "", F.col("df"))), F.lit(0)).cast("long").alias("n"))
 
 
 def match_form(text: Column) -> Column:

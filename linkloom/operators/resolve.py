@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -93,66 +91,56 @@ def verify_component(pdf: pd.DataFrame, slots: int, budget: int) -> pd.DataFrame
     return pdf.assign(status=status)[["id", "s", "t", "status", "confidence"]]
 
 
-def verify_rounds(pdf: pd.DataFrame, slots: int, budget: int) -> pd.DataFrame:
-    """The same result by rounds: a row is decided once it heads its source and its reverse can't come before it."""
-    pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    rank = {(a, b): k for k, (a, b) in enumerate(zip(pdf["s"], pdf["t"], strict=True))}
-    status = pdf["status"].tolist()
-    queues: dict[int, list[int]] = {}
-    for k, a in enumerate(pdf["s"]):
-        queues.setdefault(a, []).append(k)
-    kept = {a: sum(status[k] == "verified" for k in q) for a, q in queues.items()}
-    judged = {a: sum(status[k] in ("verified", "rejected_relevance", "rewrite_suggested") for k in q) for a, q in queues.items()}
-    open_ = {a: [k for k in q if status[k] == "ready"] for a, q in queues.items()}
-    for q in open_.values():
-        heapq.heapify(q)
-    rows = list(pdf.itertuples(index=False))
-    pending = {k for q in open_.values() for k in q}
-    while pending:
-        for a, q in open_.items():
-            while q:
-                k = q[0]
-                back = rank.get((rows[k].t, a))
-                if status[k] == "ready" and back in pending and back < k:
-                    break
-                heapq.heappop(q)
-                pending.discard(k)
-                if status[k] != "ready":
-                    continue
-                if kept[a] >= max(0, slots - int(rows[k].n_out)) or judged[a] >= budget:
-                    status[k] = "capped"
-                    continue
-                if rows[k].ok is None or pd.isna(rows[k].ok):
-                    continue
-                judged[a] += 1
-                if rows[k].ok:
-                    status[k] = "verified"
-                    kept[a] += 1
-                    if back is not None and status[back] in ("pending", "ready", "rewrite_suggested"):
-                        status[back] = "reciprocal"
-                else:
-                    status[k] = "rejected_relevance"
-    return pdf.assign(status=status)[["id", "s", "t", "status", "confidence"]]
-
-
-def verify_greedy(opps: DataFrame, verdicts: DataFrame, outgoing: DataFrame, s: Settings, ws) -> DataFrame:
-    """Budgeted greedy verification; verdicts: id, ok.
+def _fold_source(slots: int, budget: int):
+    """Decide a source's open rows in order, up to one whose reverse is open and comes before it."""
 
-    Rows only influence rows of the same source and the reverses of their
-    pairs, so connected groups of sources are independent. A review queue is
-    bounded by what people and judges can take; each group is one fold.
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        status, closed, new = pdf["status"].tolist(), pdf["closed"].tolist(), [False] * len(pdf)
+        kept = status.count("verified")
+        judged = sum(x in ("verified", "rejected_relevance", "rewrite_suggested") for x in status)
+        for k, row in enumerate(pdf.itertuples(index=False)):
+            if closed[k]:
+                continue
+            if row.r_open and (-row.r_confidence, row.r_id) < (-row.confidence, row.id):
+                break
+            closed[k] = True
+            if kept >= max(0, slots - int(row.n_out)) or judged >= budget:
+                status[k] = "capped"
+            elif row.ok is not None and not pd.isna(row.ok):
+                judged += 1
+                kept += bool(row.ok)
+                new[k] = bool(row.ok)
+                status[k] = "verified" if row.ok else "rejected_relevance"
+        return pdf.assign(status=status, closed=closed, new=new)[["id", "s", "t", "status", "confidence", "n_out", "ok", "closed", "new"]]
+
+    return fold
+
+
+def verify_greedy(opps: DataFrame, verdicts: DataFrame, outgoing: DataFrame, s: Settings, ws, most_rounds: int = 10_000) -> DataFrame:
+    """Budgeted greedy verification; verdicts: id, ok. The same rows as `verify_component` over all, in parallel rounds.
+
+    In a round every source goes on until a row whose reverse is open and comes
+    before it; reverses of newly verified rows are then blocked. The first open
+    row of all always has its turn, so every round gets on. A task holds one
+    source's rows; the rest moves by joins on pairs.
     """
-    from linkloom.operators.components import components
-
-    comp = components(opps.select(F.col("s").alias("a"), F.col("t").alias("b")), ws)
+    schema = "id long, s long, t long, status string, confidence double, n_out int, ok boolean, closed boolean, new boolean"
     rows = opps.join(verdicts.select("id", "ok"), "id", "left").join(outgoing, "s", "left").fillna(0, ["n_out"])
-    rows = rows.join(comp.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
-    slots, budget = s.max_outgoing_links, s.rerank_budget
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return verify_rounds(pdf, slots, budget)
-
-    return rows.select("id", "s", "t", "status", "confidence", "n_out", "ok", "component").groupBy("component").applyInPandas(fold, "id long, s long, t long, status string, confidence double")
+    start = rows.select("id", "s", "t", "status", F.coalesce("confidence", F.lit(0)).cast("double").alias("confidence"), F.col("n_out").cast("int").alias("n_out"), "ok", (F.col("status") != "ready").alias("closed"))
+    state = ws.cut(start)
+    for _ in range(most_rounds):
+        if not state.where(~F.col("closed")).head(1):
+            return state.join(opps.select("id", F.col("confidence").alias("_c")), "id").select("id", "s", "t", "status", F.col("_c").cast("double").alias("confidence"))
+        back = state.select(F.col("t").alias("s"), F.col("s").alias("t"), (~F.col("closed")).alias("r_open"), F.col("confidence").alias("r_confidence"), F.col("id").alias("r_id"))
+        met = state.join(back, ["s", "t"], "left").fillna(False, ["r_open"])
+        folded = ws.cut(met.groupBy("s").applyInPandas(_fold_source(s.max_outgoing_links, s.rerank_budget), schema))
+        blocked = folded.where("new").select(F.col("t").alias("s"), F.col("s").alias("t"), F.lit(True).alias("_b"))
+        hit = F.coalesce("_b", F.lit(False)) & F.col("status").isin("pending", "ready", "rewrite_suggested")
+        after = folded.join(blocked, ["s", "t"], "left").withColumns({"closed": F.col("closed") | hit, "status": F.when(hit, "reciprocal").otherwise(F.col("status"))})
+        old, state = state, ws.cut(after.select(*start.columns))
+        ws.drop(old, folded)
+    raise RuntimeError(f"verification did not settle in {most_rounds} rounds")
 
 
 def reevaluate(opps: DataFrame) -> DataFrame:

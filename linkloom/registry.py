@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.functions import html as H, text as T, vectors as V
 from linkloom.operators import analytics, graph, jobs, linkscan, matching, placement, resolve
+from linkloom.session import Workspace
 from linkloom.settings import Settings
 from linkloom.sources import adapters
 from linkloom.sources.adapters import table
@@ -122,13 +123,18 @@ def passages_html(spark, d):
     return _pages(spark, d).select("post_id", F.posexplode(split(F.regexp_replace("content", r"(?i)<br>|</p>", "\n\n"))).alias("idx", "text"))
 
 
+def _frequency(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("post_id"), T.passages(F.col("text")).alias("passages"))
+    return T.document_frequency_of(texts, Workspace(spark, "frequency"))
+
+
 def idf_table(spark, d):
-    df, n = T.document_frequency(_passages(spark, d))
+    df, n = _frequency(spark, d)
     return df.crossJoin(F.broadcast(n)).select("token", "df", F.round(T.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 def distinctive_floor(spark, d):
-    _, n = T.document_frequency(_passages(spark, d))
+    _, n = _frequency(spark, d)
     return n.select("n", F.round(T.floor(F.col("n")), 6).alias("floor"))
 
 
@@ -151,7 +157,7 @@ def stems(spark, d):
 
 
 def _candidates(spark, d):
-    df, n = T.document_frequency(_passages(spark, d))
+    df, n = _frequency(spark, d)
     return placement.candidates(_posts(spark, d), df, n), n
 
 
@@ -275,8 +281,6 @@ def reapply_thresholds(spark, d):
 
 
 def verify_greedy(spark, d):
-    from linkloom.session import Workspace
-
     ws = Workspace(spark, "verify")
     o = ws.cut(_opps(spark, d))
     ok = _verdicts(o).select("id", resolve.verdict_ok(S).alias("ok"))
@@ -339,8 +343,6 @@ def graph_degree(spark, d):
 
 
 def graph_communities(spark, d):
-    from linkloom.session import Workspace
-
     ws = Workspace(spark, "graph")
     return graph.communities(ws.cut(graph_edges(spark, d)), _vectors(spark, d).select("id").where("id % 7 <> 0"), ws)
 
@@ -413,7 +415,6 @@ def retention_purge(spark, d):
 
 def stream_ingest(spark, d):
     """The index after the documents' changes have streamed through."""
-    from linkloom.session import Workspace
     from linkloom.streaming import ingest
 
     ws = Workspace(spark, "stream")

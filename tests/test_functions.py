@@ -86,13 +86,20 @@ def test_caps_and_reciprocal(spark):
     assert {r.id: (r.status, r.confidence) for r in resolve.resolve_reciprocal(o).collect()} == {1: ("ready", 70), 2: ("reciprocal", None), 3: ("ready", 60)}
 
 
-def test_greedy_rounds_equal_the_fold():
+def test_greedy_rounds_equal_the_fold(spark):
+    from linkloom.session import Workspace
+
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 8, (40, 2)) if a != b})
-        pdf = pd.DataFrame([(k, a, b, rng.choice(["ready", "ready", "pending", "verified"]), int(rng.integers(50, 60)), int(rng.integers(0, 2)), bool(rng.integers(0, 2))) for k, (a, b) in enumerate(pairs)], columns=["id", "s", "t", "status", "confidence", "n_out", "ok"])
-        one, two = resolve.verify_component(pdf, 2, 3), resolve.verify_rounds(pdf, 2, 3)
-        assert one.equals(two)
+    for _ in range(3):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 8, (45, 2)) if a != b})
+        n_out = {k: int(rng.integers(0, 2)) for k in range(8)}
+        pdf = pd.DataFrame([(k, a, b, str(rng.choice(["ready", "ready", "ready", "pending", "verified"])), int(rng.integers(50, 60)), n_out[a], [True, False, None][int(rng.integers(0, 3))]) for k, (a, b) in enumerate(pairs)], columns=["id", "s", "t", "status", "confidence", "n_out", "ok"])
+        want = {r.id: r.status for r in resolve.verify_component(pdf, 2, 3).itertuples()}
+        opps = spark.createDataFrame(pdf[["id", "s", "t", "status", "confidence"]])
+        verdicts = spark.createDataFrame([(int(r.id), r.ok) for r in pdf.itertuples()], "id long, ok boolean")
+        out = spark.createDataFrame(list(n_out.items()), "s long, n_out int")
+        got = resolve.verify_greedy(opps, verdicts, out, Settings(rerank_budget=3), Workspace(spark, "t"))
+        assert {r.id: r.status for r in got.collect()} == want
 
 
 def test_graph(spark):
