@@ -35,6 +35,8 @@ FIRST_DEPTH = 2
 MOST_DEPTH = 10
 NODE = 128
 FORESTS = 4
+#: Documents outside its largest group with which a large node is compared at once, at the first depth already.
+OUTSIDE = 512
 #: Standard errors of a signature's estimate that a candidate may fall short of the threshold.
 SLACK = 4.5
 #: Ids (8 bytes each) that may be broadcast: 16 MB.
@@ -251,8 +253,8 @@ def _pairs_of_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"a": np.minimum(other, ids[k]), "b": np.maximum(other, ids[k])})
 
 
-def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """Members (node, doc_id) of the small nodes, and members (big, node, doc_id, parts) of the others.
+def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (node, doc_id) of the small nodes, and members (big, node, doc_id, low) of the others; the large nodes of the first depth in the same form.
 
     reps: doc_id, sig, n (size), one row for each distinct set. Nodes that stay large at
     the greatest depth hold near copies of one another; they are dealt at
@@ -261,7 +263,7 @@ def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[Data
     """
     frontier = ws.cut(reps.select("doc_id", "sig").mapInArrow(_paths(trees, FIRST_DEPTH, MOST_DEPTH), "doc_id long, tree int, node long, rest binary"))
     leaves: list[DataFrame] = []
-    dealt = frontier.select(F.col("node").alias("big"), "node", "doc_id", F.lit(0).cast("long").alias("low")).where("false")
+    dealt = early = frontier.select(F.col("node").alias("big"), "node", "doc_id", F.lit(0).cast("long").alias("low")).where("false")
     for depth in range(FIRST_DEPTH, MOST_DEPTH + 1):
         sizes = ws.cut(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1"))
         many = sizes.where(F.col("n") > NODE)
@@ -271,9 +273,12 @@ def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[Data
         if not many.head(1):
             break
         large = frontier.join(many, "node")
+        parts = F.ceil(F.col("n") / NODE)
+        in_parts = large.select(F.col("node").alias("big"), part_of("node", F.pmod(F.xxhash64("doc_id", "tree"), parts)).alias("node"), "doc_id", "low")
+        if depth == FIRST_DEPTH:
+            early = ws.cut(in_parts)
         if depth == MOST_DEPTH:
-            parts = F.ceil(F.col("n") / NODE)
-            dealt = large.select(F.col("node").alias("big"), part_of("node", F.pmod(F.xxhash64("doc_id", "tree"), parts)).alias("node"), "doc_id", "low")
+            dealt = in_parts
         else:
             # Each member takes its tokens along, so that a step down moves the large nodes' members only.
             token = F.substring("rest", 2 * (depth - FIRST_DEPTH) + 1, 2)
@@ -281,7 +286,7 @@ def tree_nodes(reps: DataFrame, ws: Workspace, trees: int = TREES) -> tuple[Data
     members = leaves[0]
     for part in leaves[1:]:
         members = members.union(part)
-    return members, dealt
+    return members, dealt, early
 
 
 def part_of(node, part):
@@ -298,15 +303,16 @@ def near_links(reps: DataFrame, docs: DataFrame, words: int, percent: int, ws: W
 
     Candidates share a node of a tree and have near signatures. The first pass
     confirms a few spanning forests of each node. The second takes the nodes
-    that lost candidates to thinning, and those dealt into parts, once more:
-    documents outside the largest group of a dealt node meet all of its parts,
+    that lost candidates to thinning, those dealt into parts, and the large ones
+    of the first depth that one group all but fills, once more: documents
+    outside the largest group of such a node meet all of its parts,
     and all candidates between different groups are compared on their full
     sets, in the node itself, which returns the links that join groups. Nodes
     of very long documents are compared pair by pair instead.
     """
     threshold = percent / 100
     least = (threshold - SLACK * (threshold * (1 - threshold) / SIGNATURE) ** 0.5) * SIGNATURE
-    members, dealt = tree_nodes(reps, ws, trees)
+    members, dealt, early = tree_nodes(reps, ws, trees)
     dealt = ws.cut(dealt)
     first = members.union(dealt.select("node", "doc_id").union(dealt.select("node", F.col("low").alias("doc_id"))).distinct())
     found = ws.cut(_gathered(first, reps).select("node", "ids", "sigs").mapInPandas(_compare(least), "a long, b long, node long"))
@@ -320,9 +326,12 @@ def near_links(reps: DataFrame, docs: DataFrame, words: int, percent: int, ws: W
 
     lost = found.where("node is not null").select("node").distinct()
     small = grouped(members.join(lost, "node")).select("node", "doc_id", "group")
-    labelled = ws.cut(grouped(dealt).select("big", "node", "doc_id", "group"))
-    counts = labelled.groupBy("big", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("big").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), (F.sum("n") - F.max("n")).alias("n")).where("n > 0")
+    both = dealt.select("big", "node", "doc_id", F.lit(False).alias("early")).union(early.select("big", "node", "doc_id", F.lit(True)))
+    labelled = ws.cut(grouped(both).select("big", "node", "doc_id", "group", "early"))
+    counts = labelled.groupBy("big", "early", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("big", "early").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), (F.sum("n") - F.max("n")).alias("n")).where("n > 0")
+    # Large nodes that one group all but fills are settled where branching hasn't parted border pairs yet.
+    largest = largest.where(~F.col("early") | (F.col("n") <= OUTSIDE))
     chunks = largest.select("big", "largest", F.ceil(F.col("n") * 2 / NODE).alias("chunks"))
     inside = labelled.join(chunks, "big")
     # Chunks of the documents outside the largest group meet all parts of their node.
