@@ -28,6 +28,7 @@ REPEATS = 4096
 #: Each pass of the targets stops one source more at its ceiling, or ends.
 MOST_PASSES = 1000
 RESERVE = 8
+TRIES = 16
 _EPS = 1e-9
 
 
@@ -63,7 +64,7 @@ def _null_vector(sizes: list[float], landing: bool) -> list[float]:
     return [1.0]
 
 
-def flight(ids: list[int], sizes: list[int], probs: list[float], landing: bool) -> list[float]:
+def flight(ids: list[int], sizes: list[int], probs: list[float], landing: bool, salt: int = 0) -> list[float]:
     """Move probabilities to 0 or 1; without `landing` two at most stay between.
 
     Expected values are kept at each step: of the two ends of the direction,
@@ -83,7 +84,7 @@ def flight(ids: list[int], sizes: list[int], probs: list[float], landing: bool)
         u = _null_vector([float(sizes[k]) for k in open_], landing)
         up = min((1 - p[k]) / d if d > 0 else -p[k] / d for k, d in zip(open_, u, strict=True) if d)
         down = min(p[k] / d if d > 0 else (p[k] - 1) / d for k, d in zip(open_, u, strict=True) if d)
-        step = up if _draw(*(ids[k] for k in open_), len(open_)) * (up + down) < down else -down
+        step = up if _draw(*(ids[k] for k in open_), len(open_) + 4 * salt) * (up + down) < down else -down
         for k, d in zip(open_, u, strict=True):
             x = p[k] + step * d
             p[k] = 0.0 if x < _EPS else 1.0 if x > 1 - _EPS else x
@@ -107,12 +108,26 @@ def _spread(debt: float, sizes: list[int], p: list[float]) -> list[float]:
 
 
 def land(ids: list[int], sizes: list[int], probs: list[float]) -> list[float]:
-    """Decide all, from large to small (the order given), in halves of what is left."""
+    """Decide all, from large to small (the order given), in halves of what is left.
+
+    Of up to TRIES draws the first is taken whose rounding the rest can make
+    good, else the one that leaves least; this only matters where a few
+    documents hold most of a small source.
+    """
     p, at = list(probs), 0
     while at < len(p):
         stop = at + (len(p) - at + 1) // 2
-        part = flight(ids[at:stop], sizes[at:stop], p[at:stop], True)
-        debt = sum((a - b) * s for a, b, s in zip(p[at:stop], part, sizes[at:stop], strict=True))
+        room = [sum((1 - x) * s for x, s in zip(p[stop:], sizes[stop:], strict=True)), sum(x * s for x, s in zip(p[stop:], sizes[stop:], strict=True))]
+        least = None
+        for salt in range(TRIES):
+            drawn = flight(ids[at:stop], sizes[at:stop], p[at:stop], True, salt)
+            owed = sum((a - b) * s for a, b, s in zip(p[at:stop], drawn, sizes[at:stop], strict=True))
+            beyond = max(0.0, owed - room[0], -owed - room[1])
+            if least is None or beyond < least[0]:
+                least = beyond, drawn, owed
+            if beyond <= 1e-6:
+                break
+        _, part, debt = least
         p[at:stop] = part
         p[stop:] = _spread(debt, sizes[stop:], p[stop:])
         at = stop

@@ -361,3 +361,99 @@ def test_pipeline_mix_takes_each_row_by_its_own_decision(spark):
     want = counted((r.doc_id, r.skey[1:], r.size, r.copies) for r in mixing.mix(docs).collect())
     got = c.mix(spark, docs, "").collect()
     assert counted((r.doc_id, r.source, len(r.text.split()), 1) for r in got) == want and any(k[0] is None for k in want)
+
+
+def _shingles(text):
+    w = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", w) if x]
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_stages_and_run_against_plain_python(spark):
+    import math
+    from collections import Counter
+
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    one = c.language(spark, docs, path).collect()
+    assert len(one) > 0.9 * docs.count() and not any(r.text is None for r in one)
+    two = c.near_dedup(spark, spark.createDataFrame(one, docs.schema), path).collect()
+    sets, root = {r.doc_id: _shingles(r.text) for r in one}, {r.doc_id: r.doc_id for r in one}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert sorted(r.doc_id for r in two) == [d for d in ids if find(d) == d]
+    three = c.secret_scan(spark, spark.createDataFrame(two, docs.schema), path).collect()
+    old = {r.doc_id: r for r in two}
+    for r in three:
+        want = secrets.redact(old[r.doc_id].text, secrets.scan(old[r.doc_id].text)[1])
+        assert (r.text, r.n_chars, r.lang, r.source) == (want, len(want), old[r.doc_id].lang, old[r.doc_id].source)
+    kept = spark.createDataFrame(three, docs.schema)
+    four = c.mix(spark, kept, path).collect()
+    size = {r.doc_id: len([x for x in __import__("re").split(r"[\x20\x09-\x0D]+", r.text) if x]) for r in three}
+    per: dict = {}
+    for r in three:
+        per[r.source] = per.get(r.source, 0) + size[r.doc_id]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(per, key=lambda s: (s is None, s or "")))}
+    level, total = 0.0, sum(per.values())
+    for _ in range(100):
+        held = sum(3 * n for s, n in per.items() if 3 * n <= weight[s] * level)
+        free = sum(weight[s] for s, n in per.items() if 3 * n > weight[s] * level)
+        level = (total - held) / free if free else level
+    taken: Counter = Counter()
+    for r in four:
+        taken[r.source] += size[r.doc_id]
+    for s, n in per.items():
+        # The last rounding is that of a source's smallest documents.
+        small = sorted(size[r.doc_id] for r in three if r.source == s)[: mixing.RESERVE]
+        assert math.isclose(taken[s], min(3 * n, weight[s] * level), rel_tol=0.0, abs_tol=max(small))
+    assert max(Counter(r.doc_id for r in four).values()) <= 3 and {r.text for r in four} <= {r.text for r in three}
+    lib = Tokenizer.from_file(queries.vocabulary(queries.VOCABULARY))
+    want = Counter()
+    for r in four:
+        e = lib.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(lib.decode(e, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(rows(c.encode(spark, spark.createDataFrame(four, docs.schema), path))) == want
+    assert Counter(rows(c.run(spark, path))) == want
+
+
+def test_pipeline_with_nulls_repeats_clashes_and_empty_tables(spark):
+    import corpus_pipeline as c
+
+    schema = DOCS.replace("node", "_id") + ", _copies long, _kept string, row_number long, key string, nr int"
+    near = BASE.replace("tok60", "other")
+    more = (7, "k", 1, "x", 2)
+    data = [(1, BASE, "en", "a", 1, "x", *more), (1, "quite another text of the same number", "en", "a", 1, "x", *more), (None, "a text without number", "en", None, 1, "x", *more), (None, near, "en", None, 1, "x", *more), (2, "", None, None, None, None, *more), (3, None, None, None, None, None, *more), (4, "a text without number", "en", "b", 1, "x", *more)]
+    docs = spark.createDataFrame(data, schema)
+    got = c.near_dedup(spark, docs, "")
+    texts = sorted("-" if r.text is None else r.text for r in got.collect())
+    rest = ["quite another text of the same number", "a text without number", "", "-"]
+    assert got.columns == docs.columns and texts in (sorted([BASE, *rest]), sorted([near, *rest]))
+    mixed = c.mix(spark, docs, "")
+    assert mixed.columns == docs.columns and {r.text for r in mixed.collect()} <= {r[1] for r in data}
+    assert c.secret_scan(spark, docs, "").columns == docs.columns and len(rows(c.encode(spark, docs, ""))) == len(data)
+    none = spark.createDataFrame([], schema)
+    for _, stage in c.STAGES:
+        assert rows(stage(spark, none, "")) == []
+
+
+def test_mixing_targets_and_heavy_repeats(spark):
+    data = [(None, "same words here", None, "a", 1, "x")] * 3000 + [(k, " ".join(["w"] * (k % 50 + 1)), "en", "abcd"[k % 4], 1, "x") for k in range(2000)]
+    got = mixing.mix(spark.createDataFrame(data, DOCS)).toPandas()
+    assert len(got) == len(data) and (got["taken"] <= 3 * got["size"]).all()
+    for _, part in got.groupby("skey"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 60
+    assert abs(got.groupby("skey")["target"].first().sum() - got["size"].sum()) < 1e-3
