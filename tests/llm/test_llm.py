@@ -457,3 +457,26 @@ def test_mixing_targets_and_heavy_repeats(spark):
     for _, part in got.groupby("skey"):
         assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 60
     assert abs(got.groupby("skey")["target"].first().sum() - got["size"].sum()) < 1e-3
+
+
+def test_passages_of_frequent_phrases_and_copies_in_one_document(spark):
+    rng = np.random.default_rng(4)
+    phrases = [[f"f{p}x{k}" for k in range(14)] for p in range(12)]
+
+    def mixed(n):
+        return [w for p in rng.integers(0, len(phrases), n) for w in [*phrases[p], f"n{rng.integers(10**9)}"]]
+
+    data, pairs = [], 60
+    for n in range(pairs):
+        passage = mixed(5)
+        edited = [*passage[:20], "edited", *passage[21:]]
+        data += [(n, " ".join([*mixed(6), *passage, *mixed(6)])), (n + pairs, " ".join([*mixed(6), *edited, *mixed(6)]))]
+    once = [f"once{k}" for k in range(55)]
+    data += [(1000, " ".join(w for n in range(4) for w in [*once, *(f"u{n}x{k}" for k in range(60))])), (1001, " ".join(once))]
+    got = {r.doc_id: r for r in passages.near_duplicate_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    spans = {d: [tuple(map(int, s.split(":"))) for s in r.passages.split(",") if s] for d, r in got.items()}
+    for n in range(pairs):
+        assert got[n].component_id == got[n + pairs].component_id, n
+        for d in (n, n + pairs):
+            assert any(s <= 115 and e >= 162 for s, e in spans[d]), (d, spans[d])
+    assert spans[1000] == [(0, 55), (115, 170), (230, 285), (345, 400)] and got[1001].component_id == 1000
