@@ -480,3 +480,19 @@ def test_passages_of_frequent_phrases_and_copies_in_one_document(spark):
         for d in (n, n + pairs):
             assert any(s <= 115 and e >= 162 for s, e in spans[d]), (d, spans[d])
     assert spans[1000] == [(0, 55), (115, 170), (230, 285), (345, 400)] and got[1001].component_id == 1000
+
+
+def test_near_duplicates_compare_signatures_of_a_byte_and_lose_no_candidate():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 200 - k], rng.integers(0, 1 << 62, k).astype(np.uint64)])) for k in range(60)]
+    long = [nearset.signature(s) for s in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([s.tobytes() for s in long], pa.binary())], ["doc_id", "sig"])
+    (out,) = nearset._brief(iter([batch]))
+    short = [np.frombuffer(s, np.uint8) for s in out.column(1).to_pylist()]
+    assert out.column(0).to_pylist() == list(range(60)) and {len(s) for s in short} == {nearset.SIGNATURE}
+    for least in (30, 41, 55):
+        want, got = nearset._edges(np.stack(long), least), nearset._edges(np.stack(short), least)
+        assert len(want[0]) and set(zip(*want[:2])) <= set(zip(*got[:2]))
