@@ -496,3 +496,37 @@ def test_near_duplicates_compare_signatures_of_a_byte_and_lose_no_candidate():
     for least in (30, 41, 55):
         want, got = nearset._edges(np.stack(long), least), nearset._edges(np.stack(short), least)
         assert len(want[0]) and set(zip(*want[:2])) <= set(zip(*got[:2]))
+
+
+def test_passages_of_many_pairs_at_once_are_those_of_each_pair():
+    rng, length = np.random.default_rng(6), 46
+
+    def plain(x, y, shifts, lo, hi):
+        found = []
+        for d in shifts:
+            ends = max(lo, 0, d), min(hi, len(x) - 1, len(y) - 1 + d) - length + 2
+            starts = [s for s in range(*ends) if (m := sum(x[s + j] == y[s + j - d] for j in range(length))) >= 0.8 * (2 * length - m)]
+            for s in starts:
+                if found and found[-1][4] == d and s - found[-1][5] <= length:
+                    found[-1][1], found[-1][3], found[-1][5] = s + length, s + length - d, s
+                else:
+                    found.append([s, s + length, s - d, s + length - d, d, s])
+        return [tuple(f[:4]) for f in found]
+
+    pairs, whole = [], []
+    for n in range(120):
+        x = rng.integers(0, 30 if n % 10 == 9 else 1 << 32, rng.integers(0, 300), dtype=np.uint32)
+        y = np.concatenate([rng.integers(0, 1 << 32, rng.integers(0, 80), dtype=np.uint32), x[rng.integers(0, 40) :], rng.integers(0, 1 << 32, 20, dtype=np.uint32)])
+        y[rng.random(len(y)) < 0.02] = 7
+        y = np.delete(y, rng.integers(0, len(y), n % 4))
+        shifts = sorted({int(len(x) - len(y) + 20 + k) for k in rng.integers(-4, 5, 1 + n % 3)})
+        pairs.append((x, y, shifts, int(rng.integers(0, 30)), len(x) - 1))
+        whole.append((x, y, shifts))
+    got = passages.common_stretches(pairs, length, 0.8)
+    assert got == [plain(*p) for p in pairs] and sum(map(bool, got)) > 20
+    edited = passages.edited_stretches(*zip(*whole, strict=True), length, 0.8)
+    assert edited == [passages.edited_stretches([x], [y], [s], length, 0.8)[0] for x, y, s in whole] and sum(map(bool, edited)) > 40
+    for (x, y, _), found in zip(whole, edited, strict=True):
+        assert all(0 <= s <= e - length and e <= len(x) and 0 <= t <= f - length and f <= len(y) for s, e, t, f in found)
+    assert passages.near_stretches(pairs, length, 0.8) == [passages.near_stretches([p], length, 0.8)[0] for p in pairs]
+    assert passages.near_stretches([], length, 0.8) == passages.edited_stretches([], [], [], length, 0.8) == []
