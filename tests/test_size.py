@@ -1,9 +1,12 @@
 """What steps move and hold must not grow faster than their input; the results are those of plain Python."""
 
+import math
+
 import numpy as np
 import pytest
 
 from linkloom.functions import vectors as V
+from linkloom.operators import placement
 
 
 @pytest.mark.parametrize("by", ["s", "t"])
@@ -20,3 +23,36 @@ def test_parts_of_a_side_do_not_grow_with_the_vectors(spark, by):
         best = sorted((-sims[a, b], b) for b in range(1500) if b % others and a != b and sims[a, b] >= 70)[:5]
         want |= {((a, b) if by == "s" else (b, a)): -x for x, b in best}
     assert got == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_move_by_token_and_post_alone(spark):
+    posts = spark.createDataFrame([(1, "Car Loans", "Car loans NASA nasa car loans rates"), (2, None, "rates of banks"), (3, "", None)], "post_id long, title string, content string")
+    df = spark.createDataFrame([("car", 1), ("loans", 1), ("rates", 2), ("nasa", 1)], "token string, df long")
+    n = spark.createDataFrame([(2,)], "n long")
+    out = placement.candidates(posts, df, n)
+    idf = {1: math.log(3 / 2) + 1, 0: math.log(3) + 1, 2: 1.0}
+    got = {(r.post_id, r.phrase): (round(r.spec, 9), r.seq) for r in out.collect()}
+    want = {(1, "car loans"): (idf[1] + 1.5, 1_000_000), (1, "loans nasa"): (idf[1], 2_000_001), (1, "nasa"): (idf[1] + 3, 3_000_000), (2, "banks"): (idf[0], 4_000_001)}
+    assert {k: got.get(k) for k in want} == {k: (round(x, 9), y) for k, (x, y) in want.items()}
+    assert (2, "rates") not in got and (1, "rates") not in got and (1, "car loans rates") in got
+    exchanges = [x for x in _plan(out).splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("phrase" in x for x in exchanges)
+
+
+def test_means_and_best_passages_move_packed(spark):
+    p = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.6, 0.8]), (1, 2, [0.6, 0.8]), (2, 0, [0.0, 1.0])], "post_id long, idx int, vector array<double>")
+    docs = V.mean_of(p, "post_id")
+    got = {r.post_id: r.vector for r in docs.collect()}
+    assert got[2] == [0.0, 1.0] and np.allclose(got[1], [2.2 / 3, 1.6 / 3], atol=1e-15)
+    mean = spark.createDataFrame([([0.1, 0.2],)], "mean array<double>")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 9), (9, 1)], "s long, t long")
+    out = placement.best_passage(pairs, p, docs.withColumnRenamed("post_id", "id"), mean, 55)
+    a, b = np.array([0.5, 0.6]), np.array([-0.1, 0.8])
+    best = round((a @ b / np.linalg.norm(a) / np.linalg.norm(b) + 1) * 50, 2)
+    rows = {(r.s, r.t): (r.idx, r.passage_score, r.status) for r in out.collect()}
+    assert rows[1, 2] == (1, best, "ready") and rows[1, 9] == rows[9, 1] == (None, 0.0, "low_relevance") and rows[2, 1][0] == 0
+    assert "Window" not in _plan(out) and "Generate" not in _plan(docs)
