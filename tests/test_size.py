@@ -4,9 +4,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from linkloom.functions import vectors as V
-from linkloom.operators import placement
+from linkloom import pipeline
+from linkloom.functions import html as H, text as T, vectors as V
+from linkloom.operators import placement, prepare
+from linkloom.session import Workspace
+from linkloom.settings import Settings
 
 
 @pytest.mark.parametrize("by", ["s", "t"])
@@ -56,3 +60,38 @@ def test_means_and_best_passages_move_packed(spark):
     rows = {(r.s, r.t): (r.idx, r.passage_score, r.status) for r in out.collect()}
     assert rows[1, 2] == (1, best, "ready") and rows[1, 9] == rows[9, 1] == (None, 0.0, "low_relevance") and rows[2, 1][0] == 0
     assert "Window" not in _plan(out) and "Generate" not in _plan(docs)
+
+
+def test_texts_are_split_once_for_their_tokens(spark):
+    class Seen:
+        def cut(self, df):
+            self.plan = _plan(df)
+            return df
+
+    ws = Seen()
+    texts = spark.createDataFrame([(1, "One paragraph of words that is long enough."), (2, "short")], "post_id long, text string")
+    df, n = T.document_frequency_of(texts.select("post_id", T.passages(F.col("text")).alias("passages")), ws)
+    assert ws.plan.count("ArrowEvalPython") == 1
+    assert n.first().n == 1 and {r.token for r in df.collect()} == {"one", "paragraph", "words", "that", "long", "enough"}
+
+
+@pytest.mark.parametrize("anchor, passage, want", [("CAR loans", "Scar loans, car loans.", "car loans"), ("car loans", "car\nloans", "car\nloans"), ("a.b", "xa.b a.b", "a.b"), ("ÉTÉ", "en été", "été"), ("car", "cars scar", "")])
+def test_ground_anchor_with_and_without_a_pattern(anchor, passage, want):
+    assert H.ground_anchor(anchor, passage) == want
+
+
+def test_pairs_carry_topics_not_texts(spark):
+    posts = spark.createDataFrame([(1, "Loan Rates", "banks lend, banks borrow")], "post_id long, title string, content string")
+    rows = prepare.topics(posts)
+    assert [tuple(r) for r in rows.collect()] == [(1, "bank loan rat")]
+    out = rows.select(prepare.refined(F.lit("x"), F.lit("Banks set loan rates."), "_topics").alias("a"), prepare.refined(F.lit(None).cast("string"), F.lit("Banks"), "_topics").alias("b")).first()
+    assert (out.a, out.b) == (H.refine_anchor("x", "Banks set loan rates.", "Loan Rates", "banks lend, banks borrow"), None)
+
+
+def test_links_are_prepared_from_all_of_a_text(spark):
+    paragraphs = [f"Paragraph number {k} speaks of words enough." for k in range(70)]
+    text = "\n\n".join(paragraphs)
+    df = spark.createDataFrame([(1, "Long", text, "publish", "/1"), (2, "Short", paragraphs[69], "publish", "/2")], "post_id long, title string, content string, status string, permalink string")
+    got = df.select(F.size(T.passages(F.col("content"))), F.size(T.all_passages(F.col("content")))).first()
+    assert tuple(got) == (60, 70)
+    assert pipeline.run(df, Settings(), Workspace(spark, "t")).passages.where("post_id = 1").count() == 70
